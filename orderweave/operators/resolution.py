@@ -18,6 +18,7 @@ from orderweave.functions.similarity import score_batches
 from orderweave.functions.specs import canonical_alloy, dimensions
 from orderweave.functions.text import norm_code, strip, tokens
 from orderweave.operators.joins import left_lookup, with_defaults
+from orderweave.session import stored
 
 # A wall bucket is twice the tolerance wide: walls within tolerance of each other
 # lie in the same or in neighbouring buckets.
@@ -73,12 +74,11 @@ def match_exact(lines: DataFrame, catalog: DataFrame) -> DataFrame:
 def extract_attributes(lines: DataFrame) -> DataFrame:
     """Adds canonical alloy and dimensions read from the free text."""
     prepared = with_defaults(lines, {"alloy": "string"})
-    size = dimensions(F.col("description"))
     return prepared.select(
         *lines.columns,
         F.coalesce(canonical_alloy(F.col("alloy")),
                    canonical_alloy(F.col("description"))).alias("canon_alloy"),
-        size["w"].alias("dim_w"), size["h"].alias("dim_h"), size["t"].alias("dim_t"))
+        F.inline_outer(dimensions(F.col("description"))).alias("dim_w", "dim_h", "dim_t"))
 
 
 # --- dimensions ---------------------------------------------------------------
@@ -103,13 +103,11 @@ def _sections(catalog: DataFrame) -> DataFrame:
 
 def _specs_by_dimension(specs: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(description, canon) -> code`` where exactly one section fits."""
-    size = dimensions(F.col("description"))
-    wanted = (
-        specs.withColumn("size", size).where(F.col("size").isNotNull())
-        .select("description", "canon",
-                F.least("size.w", "size.h").alias("lo"),
-                F.greatest("size.w", "size.h").alias("hi"),
-                F.col("size.t").alias("t"), _wall_bucket(F.col("size.t")).alias("bucket")))
+    sized = specs.select("description", "canon",
+                         F.inline(dimensions(F.col("description"))).alias("w", "h", "t"))
+    wanted = sized.select("description", "canon", F.least("w", "h").alias("lo"),
+                          F.greatest("w", "h").alias("hi"), "t",
+                          _wall_bucket(F.col("t")).alias("bucket"))
     near = (wanted.join(_sections(catalog), ["lo", "hi", "bucket"])
             .where(F.abs(F.col("wall") - F.col("t")) <= fv.DIMENSION_TOLERANCE_MM))
     same_alloy = F.col("section_alloy") == F.col("canon")
@@ -151,11 +149,12 @@ def _containments(texts: DataFrame, targets: DataFrame) -> DataFrame:
         .join(frequency, "word")
         .groupBy("target", F.col("target_alloy").alias("canon"), "code")
         .agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+        .withColumn("needed", tokens(F.col("target")))
     )
     spread = (texts.where(F.col("canon").isNotNull())
               .withColumn("words", tokens(F.col("description")))
               .select("*", F.explode("words").alias("word")))
-    missing = F.size(F.array_except(tokens(F.col("target")), F.col("words")))
+    missing = F.size(F.array_except("needed", "words"))
     return spread.join(keyed, ["word", "canon"]).where(missing == 0)
 
 
@@ -212,7 +211,7 @@ def _scored(specs: DataFrame, targets: DataFrame, threshold: float,
 
 def _specs_by_name(specs: DataFrame, catalog: DataFrame, threshold: float,
                    dictionary_rows: int) -> DataFrame:
-    targets = fuzzy_targets(catalog)
+    targets = stored(fuzzy_targets(catalog), "targets")
     specs = specs.where(F.col("description") != "")
     contained = _contained_targets(specs, targets)
     # Containment needs a known alloy, so plain equality is enough here.
@@ -221,8 +220,12 @@ def _specs_by_name(specs: DataFrame, catalog: DataFrame, threshold: float,
 
 
 def _specs(lines: DataFrame) -> DataFrame:
-    """Distinct (description, canonical alloy): the work of the slow tiers."""
-    return lines.where(F.col("description") != "").select("description", "canon").distinct()
+    """Distinct (description, canonical alloy): the work of the slow tiers.
+
+    Several branches read it, so it is stored: the lines are passed over once for it.
+    """
+    wanted = lines.where(F.col("description") != "").select("description", "canon").distinct()
+    return stored(wanted, "specs")
 
 
 def _with_canon(lines: DataFrame) -> DataFrame:

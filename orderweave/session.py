@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "orderweave") -> SparkSession:
@@ -40,3 +40,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="orderweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several branches of a job read, and read it back.
+
+    The branches then share one computation, survive lost executors, and Spark plans
+    their joins with the table's real size.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
