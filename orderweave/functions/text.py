@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from orderweave import fixed_values as fv
 
-# Python's str.strip() also drops the four separator controls Java's \s leaves.
-_BLANK = r"[\s\x1c-\x1f]"
+# Every character that str.isspace() accepts, as a Java class and as plain text.
+WHITE = (r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
+_WHITE_CHARS = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(c, F.lit(_WHITE_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -35,7 +41,7 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
 def tokens(c: Column) -> Column:
     """Distinct whitespace-separated words."""
     return F.array_distinct(
-        F.filter(F.split(c, f"(?U){_BLANK}+"), lambda w: w != ""))
+        F.filter(F.split(c, f"[{WHITE}]+"), lambda w: w != ""))
 
 
 @lru_cache(maxsize=None)
@@ -60,10 +66,11 @@ def _compatibility_table() -> tuple[str, str, dict[str, str]]:
 
 def _expand(c: Column, table: dict[str, str]) -> Column:
     """Replace single characters by longer strings, looping only over those present."""
-    keys, values = list(table), list(table.values())
-    lookup = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*map(F.lit, values)))
+    # Two literals instead of hundreds keep the plan small; Spark folds them to one map.
+    keys, values = F.lit("\n".join(table)), F.lit("\n".join(table.values()))
+    lookup = F.map_from_arrays(F.split(keys, "\n"), F.split(values, "\n"))
     special = F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7F]+", ""), ""))
-    present = F.filter(special, lambda ch: F.map_contains_key(lookup, ch))
+    present = F.filter(special, lambda ch: (ch != "") & (F.instr(keys, ch) > 0))
     return F.aggregate(
         present, c, lambda text, ch: F.replace(text, ch, F.element_at(lookup, ch)))
 
@@ -105,15 +112,13 @@ def table_unit(c: Column) -> Column:
 
 def payload_unit(c: Column) -> Column:
     """Unit of measure of any spelling, accents ignored; NULL when unknown."""
-    word = F.lower(strip(ascii_fold(c, german=False)))
     spellings = {w: unit for unit, words in fv.PAYLOAD_UNITS.items() for w in words.split()}
-    return (
-        F.when(word == "", None)
-        .otherwise(F.coalesce(
-            lookup(word, spellings),
-            F.when(word.rlike("stk|stuck|piece|pcs"), "PCE")
-            .when(word.rlike("^kg|kilogram"), "KGM")
-            .when(word.contains("ton"), "TNE")
-            .when(word.contains("met"), "MTR"),
-        ))
-    )
+
+    def read(word: Column) -> Column:
+        by_part = (F.when(word.rlike("stk|stuck|piece|pcs"), "PCE")
+                   .when(word.rlike("^kg|kilogram"), "KGM")
+                   .when(word.contains("ton"), "TNE")
+                   .when(word.contains("met"), "MTR"))
+        return F.when(word != "", F.coalesce(lookup(word, spellings), by_part))
+
+    return let(F.lower(strip(ascii_fold(c, german=False))), read)

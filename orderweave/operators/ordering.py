@@ -11,14 +11,24 @@ GROUP_ROWS = 20_000
 CHUNK_CHARS = 4
 
 
-def chunked(df: DataFrame, keys: list[str], sort: list[str], size: Column,
+def any_larger(sizes: DataFrame, column: str, group_rows: int) -> bool:
+    """Does any group exceed the limit? Reads a stored table of group sizes."""
+    return bool(sizes.where(F.col(column) > group_rows).take(1))
+
+
+def chunked(df: DataFrame, keys: list[str], sort: list[str], size: Column, large: bool,
             group_rows: int = GROUP_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Adds ``chunk`` (0-based, in order), ``chunks`` and ``position`` (1-based).
 
-    ``size`` is the number of rows of the row's group. The first sort column must be
-    text: a leading part of it never sorts after the rest, so numbering inside
-    (group, leading part) plus the rows of earlier parts is the position.
+    ``size`` is the number of rows of the row's group and ``large`` tells whether any
+    group exceeds ``group_rows``. The first sort column must be text: a leading part of
+    it never sorts after the rest, so numbering inside (group, leading part) plus the
+    rows of earlier parts is the position.
     """
+    if not large:
+        whole = Window.partitionBy(*keys).orderBy(*sort)
+        return df.withColumns({"position": F.row_number().over(whole), "chunk": F.lit(0),
+                               "chunks": F.lit(1)})
     lead = F.when(size > group_rows, F.substring(F.coalesce(F.col(sort[0]), F.lit("")), 1,
                                                  chunk_chars)).otherwise("")
     cut = df.withColumn("_large", size > group_rows).withColumn("_lead", lead)
