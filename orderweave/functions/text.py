@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orderweave import fixed_values as fv
 
 # Every character that str.isspace() accepts, as a Java class and as plain text.
-WHITE = (r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
+_WHITE = (r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
 _WHITE_CHARS = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
 
 
@@ -41,7 +41,7 @@ def first_group(c: Column, pattern: str, group: int = 1) -> Column:
 def tokens(c: Column) -> Column:
     """Distinct whitespace-separated words."""
     return F.array_distinct(
-        F.filter(F.split(c, f"[{WHITE}]+"), lambda w: w != ""))
+        F.filter(F.split(c, f"[{_WHITE}]+"), lambda w: w != ""))
 
 
 @lru_cache(maxsize=None)

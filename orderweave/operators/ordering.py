@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this many rows are handled by one task; larger ones are cut into
-# order-preserving chunks by the leading characters of their sort key.
+from orderweave.session import stored
+
+# Groups up to this many rows are one chunk; larger ones come in chunks of this size.
 GROUP_ROWS = 20_000
-CHUNK_CHARS = 4
 
 
 def any_larger(sizes: DataFrame, column: str, group_rows: int) -> bool:
@@ -16,40 +16,48 @@ def any_larger(sizes: DataFrame, column: str, group_rows: int) -> bool:
     return bool(sizes.where(F.col(column) > group_rows).take(1))
 
 
+def _positions_across_tasks(df: DataFrame, keys: list[str], sort: list[str]) -> DataFrame:
+    """``position`` inside groups too large for one task.
+
+    A range partitioning on key and sort columns cuts a group into ordered pieces;
+    the position is the place in the piece plus the rows of earlier pieces. The pieces
+    are stored, because a repeated sampling could draw other borders.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = stored(df.repartitionByRange(tasks, *keys, *sort).withColumn(
+        "_piece", F.spark_partition_id()), "large-groups")
+    earlier = Window.partitionBy(*keys).orderBy("_piece")
+    counted = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
+    before = counted.select(*keys, "_piece", (
+        F.sum("_rows").over(earlier) - F.col("_rows")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*sort)
+    return (pieces.withColumn("_inside", F.row_number().over(inside))
+            .join(before, [*keys, "_piece"])
+            .withColumn("position", F.col("_before") + F.col("_inside"))
+            .drop("_piece", "_before", "_inside"))
+
+
 def chunked(df: DataFrame, keys: list[str], sort: list[str], size: Column, large: bool,
-            group_rows: int = GROUP_ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Adds ``chunk`` (0-based, in order), ``chunks`` and ``position`` (1-based).
+            group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds ``position`` (1-based), ``chunk`` (0-based, in order) and ``chunks``.
 
     ``size`` is the number of rows of the row's group and ``large`` tells whether any
-    group exceeds ``group_rows``. The first sort column must be text: a leading part of
-    it never sorts after the rest, so numbering inside (group, leading part) plus the
-    rows of earlier parts is the position.
+    group exceeds ``group_rows``; only then are such groups treated apart.
     """
+    whole = Window.partitionBy(*keys).orderBy(*sort)
+
+    def in_one_task(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({
+            "position": F.row_number().over(whole).cast("bigint"),
+            "chunk": F.lit(0).cast("bigint"), "chunks": F.lit(1).cast("bigint")})
+
     if not large:
-        whole = Window.partitionBy(*keys).orderBy(*sort)
-        return df.withColumns({"position": F.row_number().over(whole), "chunk": F.lit(0),
-                               "chunks": F.lit(1)})
-    lead = F.when(size > group_rows, F.substring(F.coalesce(F.col(sort[0]), F.lit("")), 1,
-                                                 chunk_chars)).otherwise("")
-    cut = df.withColumn("_large", size > group_rows).withColumn("_lead", lead)
-    parts = cut.where("_large").groupBy(*keys, "_lead").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_lead")
-    offsets = parts.select(
-        *keys, "_lead",
-        (F.sum("_rows").over(before) - F.col("_rows")).alias("_before"),
-        (F.row_number().over(before) - 1).alias("_chunk"),
-        F.count("*").over(Window.partitionBy(*keys)).alias("_chunks"))
-    inside = Window.partitionBy(*keys, "_lead").orderBy(*sort)
-    return (
-        cut.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_lead"], "left")
-        .withColumns({
-            "position": F.col("_inside") + F.coalesce("_before", F.lit(0)),
-            "chunk": F.coalesce("_chunk", F.lit(0)),
-            "chunks": F.coalesce("_chunks", F.lit(1)),
-        })
-        .drop("_large", "_lead", "_inside", "_before", "_chunk", "_chunks")
-    )
+        return in_one_task(df)
+    small = in_one_task(df.where(size <= group_rows))
+    big = _positions_across_tasks(df.where(size > group_rows), keys, sort).withColumns({
+        "chunk": F.floor((F.col("position") - 1) / group_rows),
+        "chunks": F.ceil(size / group_rows)})
+    return small.unionByName(big)
 
 
 def ordered_list(item: Column, position: Column) -> Column:
