@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderweave import fixed_values as fv
-from orderweave.sources.reports import cwe_ids, first_category_map, with_constant
+from orderweave.operators.joins import with_constant
+from orderweave.sources.reports import cwe_ids, first_category_map
 
 
 def severity_bucket(c: Column) -> Column:
@@ -24,13 +25,6 @@ def tag_weaknesses(findings: DataFrame, categories: DataFrame, ranks: DataFrame,
         "owasp_of").join(ranked, "cwe", "left")
 
 
-def _known_sets(categories: DataFrame, ranks: DataFrame) -> DataFrame:
-    """One row with the category ids and the ranked weaknesses."""
-    return with_constant(
-        categories.agg(F.collect_set("owasp_id").alias("owasp_ids")),
-        ranks.agg(F.collect_set("cwe").alias("sans_ids")))
-
-
 def categorise_findings(findings: DataFrame, categories: DataFrame, ranks: DataFrame
                         ) -> tuple[DataFrame, DataFrame]:
     """Category rows ``(framework, category)`` per finding, and the uncategorised rest.
@@ -39,8 +33,11 @@ def categorise_findings(findings: DataFrame, categories: DataFrame, ranks: DataF
     carries, and once per weakness to a category the weakness implies and the finding
     does not list. Decided row by row: no shuffle of the findings.
     """
-    known = with_constant(
-        with_constant(findings, first_category_map(categories)), _known_sets(categories, ranks))
+    known = findings
+    for constant in (first_category_map(categories),
+                     categories.agg(F.collect_set("owasp_id").alias("owasp_ids")),
+                     ranks.agg(F.collect_set("cwe").alias("sans_ids"))):
+        known = with_constant(known, constant)
     listed = F.coalesce("owasp_categories", F.array().cast("array<string>"))
     cwes = F.coalesce("cwes", F.array().cast("array<string>"))
 

@@ -32,8 +32,10 @@ def left_lookup(facts: DataFrame, dim: DataFrame, keys: list[str],
     """
     missing = any_of(F.col(k).isNull() for k in keys)
     spread = F.when(missing, F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SPREAD)) + 1)
-    left = facts.withColumn("_spread", F.coalesce(spread, F.lit(0)))
-    right = dim.withColumn("_spread", F.lit(0).cast("bigint"))
+    left = facts.withColumn("_spread", F.coalesce(spread, F.lit(0).cast("bigint")))
+    # Always 0, but not a constant to the optimizer, which would drop a constant key
+    # from the shuffle and bring all missing keys together again.
+    right = dim.withColumn("_spread", F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint")))
     return left.join(right, [*keys, "_spread"], "left").drop("_spread")
 
 
@@ -47,6 +49,11 @@ def unique_rows(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFram
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def with_constant(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a table that has one row by construction, as subqueries."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+
+
 def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Add absent optional columns as typed NULLs."""
     return df.select("*", *[F.lit(None).cast(t).alias(c)

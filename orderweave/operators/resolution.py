@@ -24,6 +24,7 @@ from orderweave.session import stored
 # lie in the same or in neighbouring buckets.
 _WALL_BUCKET_MM = 2 * fv.DIMENSION_TOLERANCE_MM
 DICTIONARY_ROWS = 20_000
+SPECS_PER_TASK = 2_000
 
 
 def active_catalog(catalog: DataFrame) -> DataFrame:
@@ -190,6 +191,14 @@ def _scored(specs: DataFrame, targets: DataFrame, threshold: float,
     wanted = targets.select("code", "target", "target_alloy")
     schema = "description string, canon string, code string, score double"
 
+    count = specs.count()
+    if count == 0:
+        return specs.sparkSession.createDataFrame([], schema)
+    # Few bytes but much work per row: the number of tasks follows the rows.
+    cores = specs.sparkSession.sparkContext.defaultParallelism
+    tasks = min(-(-count // SPECS_PER_TASK), 4 * cores)
+    specs = specs.repartition(tasks)
+
     def one_pass(rows) -> DataFrame:
         run = partial(score_batches, targets=[tuple(r) for r in rows],
                       bonus=fv.ALLOY_BONUS, accept=threshold)
@@ -213,7 +222,7 @@ def _specs_by_name(specs: DataFrame, catalog: DataFrame, threshold: float,
                    dictionary_rows: int) -> DataFrame:
     targets = stored(fuzzy_targets(catalog), "targets")
     specs = specs.where(F.col("description") != "")
-    contained = _contained_targets(specs, targets)
+    contained = stored(_contained_targets(specs, targets), "contained")
     # Containment needs a known alloy, so plain equality is enough here.
     rest = specs.join(contained, ["description", "canon"], "left_anti")
     return contained.unionByName(_scored(rest, targets, threshold, dictionary_rows))

@@ -257,11 +257,9 @@ def update_where(df: DataFrame, filters: dict[str, str], changes: dict
 def update_first(df: DataFrame, filters: dict[str, str], changes: dict, key: str
                  ) -> tuple[DataFrame, DataFrame]:
     """Set columns of the matching row with the smallest unique key only."""
-    first = df.where(_matching(df, filters)).agg(F.min(key).alias("_first"))
-    # One row by construction, so this join is a constant lookup.
-    marked = df.join(F.broadcast(first), F.col(key) == F.col("_first"), "left").withColumn(
-        "_hit", F.col("_first").isNotNull())
-    done = _assign(marked, F.col("_hit"), changes).drop("_first")
+    first = df.where(_matching(df, filters)).agg(F.min(key).alias("_first")).scalar()
+    marked = df.withColumn("_hit", F.coalesce(F.col(key) == first, F.lit(False)))
+    done = _assign(marked, F.col("_hit"), changes)
     return done.drop("_hit"), done.where("_hit").drop("_hit")
 
 

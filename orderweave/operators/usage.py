@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderweave import fixed_values as fv
-from orderweave.operators.joins import all_of
+from orderweave.operators.joins import all_of, with_constant
 
 PERIODS = tuple(fv.PERIOD_SECONDS)
 
@@ -81,8 +81,7 @@ def limit_check(usages: DataFrame, limits: DataFrame, as_of: datetime) -> DataFr
         .agg(F.coalesce(F.bool_and(passes), F.lit(True)).alias("overall")))
     paths = (usages.select("path").distinct()
              .unionByName(limits.select("path")).where(F.col("path").isNotNull()).distinct())
-    verdict = paths.join(own, "path", "left").withColumn("_one", F.lit(1)).join(
-        F.broadcast(overall_ok.withColumn("_one", F.lit(1))), "_one")
+    verdict = with_constant(paths.join(own, "path", "left"), overall_ok)
     return verdict.select("path", (F.coalesce("own", F.lit(True)) & F.col("overall"))
                           .alias("available"))
 

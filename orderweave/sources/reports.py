@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderweave import fixed_values as fv
+from orderweave.operators.joins import with_constant
 
 FIELDS = {
     "report": "string", "pos": "bigint", "source": "string", "rule_id": "string",
@@ -62,12 +63,6 @@ def first_category_map(categories: DataFrame) -> DataFrame:
                      .alias("owasp_of"))
 
 
-def with_constant(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a table that has one row by construction."""
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 # --- variant access -----------------------------------------------------------------
 
 def _get(v, path: str, as_type: str, default=None) -> Column:
