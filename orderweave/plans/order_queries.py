@@ -256,8 +256,9 @@ _DIMENSION = {
                           THEN min(internal_code) END AS code
               FROM cand GROUP BY 1, 2""",
 }
-# All fixture descriptions hold every word of an active target of their alloy, which
-# is the highest score; so containment decides the fuzzy tier on these tables.
+# From sf0.01 up, every description holds all words of an active target of its alloy,
+# which is the highest score; so containment decides the fuzzy tier on these tables.
+# Smaller tables lack some targets; there only the unit tests' brute force is a measure.
 _FUZZY = {
     "texts": f"SELECT DISTINCT description, {_ALLOY.format('description')} AS alloy, "
              "list_distinct(string_split(description, ' ')) AS words FROM fx_lines "

@@ -243,6 +243,9 @@ def test_export_writes_once(spark, order_tables, tmp_path):
     name = next(r["blob_path"] for r in rows if r["order_id"] == 7).split("/")[1][:-4]
     written = list(tmp_path.glob(f"edifact/*/message={name}/*.txt"))
     assert [p.read_text() for p in written] == [MESSAGE]
+    sinks.export_orders(*order_tables, str(tmp_path / "f"), AS_OF, per_order_files=False)
+    bulk = "".join(p.read_text() for p in sorted(tmp_path.glob("f/edifact/*/*.txt")))
+    assert bulk.count("UNB+") == 2 and MESSAGE in bulk
     rest = sinks.export_orders(*order_tables, str(tmp_path / "c"), AS_OF,
                                exported=log.where("order_id = 7"))
     assert {r["order_id"] for r in rest.collect()} == {12345678901}

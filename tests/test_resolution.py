@@ -201,3 +201,24 @@ def test_edits_teach_and_reject(spark, catalog):
                                 "internal_code string")
     learned = {(r[0], r[1]): r[2] for r in flags.learn_aliases(old, taught).collect()}
     assert learned == {("x", "PRO-1"): "AE-2024-036", ("y", "PRO-1"): "AE-2025-030"}
+
+
+def test_missing_keys_are_spread(spark, no_aliases, catalog):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.range(2000).selectExpr(
+            "CAST(id AS INT) AS order_id", "'1' AS line_no", "'x' AS customer",
+            "CAST(NULL AS STRING) AS extracted_code", "CAST(NULL AS STRING) AS description")
+        joined = resolution.match_exact(lines, catalog)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_code" in plan and "_spread" in plan.split("hashpartitioning")[1]
+        assert joined.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_nested_loops_and_no_python_without_fuzzy(spark, sf):
+    from orderweave.plans.registry import QUERIES
+    plan = QUERIES["resolve_lines_without_fuzzy"](spark, sf)._jdf.queryExecution(
+        ).executedPlan().toString()
+    assert not any(word in plan for word in ("NestedLoop", "Cartesian", "Python", "Pandas"))
