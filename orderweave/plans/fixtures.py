@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orderweave.session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +81,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_partkey"))
 
 
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines as a written table, for queries that read them several times."""
+    return stored(lines(spark, sf_dir), "lines")
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(

@@ -15,7 +15,7 @@ AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 
 
 def _resolved(spark, sf, fuzzy=True) -> DataFrame:
-    lines = fx.lines(spark, sf)
+    lines = fx.stored_lines(spark, sf)
     return resolution.resolve_lines(lines, fx.catalog(spark, sf), fx.aliases(lines), fuzzy=fuzzy)
 
 
@@ -154,7 +154,8 @@ def order_gate_blocking_lines(spark, sf):
 
 
 def orders_with_lines(spark, sf):
-    nested = orders.orders_with_lines(fx.orders(spark, sf), fx.lines(spark, sf).drop("customer"))
+    nested = orders.orders_with_lines(fx.orders(spark, sf),
+                                      fx.lines(spark, sf).drop("customer"))
     shown = F.transform("lines", lambda r: F.concat_ws(
         ":", r["line_no"], F.coalesce(r["extracted_code"], F.lit("-"))))
     return nested.select("id", "customer", "chunk", "line_count",

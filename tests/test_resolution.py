@@ -208,7 +208,7 @@ def test_missing_keys_are_spread(spark, no_aliases, catalog):
     try:
         lines = spark.range(2000).selectExpr(
             "CAST(id AS INT) AS order_id", "'1' AS line_no", "'x' AS customer",
-            "CAST(NULL AS STRING) AS extracted_code", "CAST(NULL AS STRING) AS description")
+            "IF(id < 0, 'x', NULL) AS extracted_code", "CAST(NULL AS STRING) AS description")
         joined = resolution.match_exact(lines, catalog)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(_code" in plan and "_spread" in plan.split("hashpartitioning")[1]
