@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process all available input into parquet files; each row exactly once."""
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", out).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    """Process all available input into parquet files; each row exactly once.
+
+    State is kept in at most as many parts as there are cores, since every part is a
+    store of its own that each batch opens.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_PARTITIONS)
+    parts = min(int(before), spark.sparkContext.defaultParallelism)
+    spark.conf.set(_PARTITIONS, str(parts))
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("path", out).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PARTITIONS, before)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def stream_parquet(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:

@@ -14,6 +14,7 @@ from orderweave import fixed_values as fv
 
 OVERALL = "*"
 _DAY = 86_400
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PERIODS = tuple(fv.PERIOD_SECONDS)
 ALERT_SCHEMA = ("scope string, period string, window_end timestamp, tokens bigint, "
                 "cost double, over boolean")
@@ -97,6 +98,8 @@ def usage_alerts(stream: DataFrame, limits: DataFrame, delay: str = "10 minutes"
     Usages are first summed per scope and minute, partly before the shuffle, so the
     keyed state sees one row per scope and minute even for a very hot path.
     """
+    # Keyed state of this kind needs the RocksDB store.
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     scoped = stream.withWatermark("timestamp", delay).withColumn(
         "scope", F.explode(F.array(F.col("path"), F.lit(OVERALL))))
     sums = scoped.groupBy(F.window("timestamp", "1 minute").alias("w"), "scope").agg(
