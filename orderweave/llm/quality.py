@@ -40,8 +40,11 @@ FENCES = {
     "word_length": {"reach": 5, "least_spread": 300, "low": True},
     "symbols": {"reach": 5, "least_spread": 300, "low": False},
     "dup_lines": {"reach": 5, "least_spread": 600, "low": False},
-    "repeats": {"reach": 5, "least_spread": 300, "low": False},
+    "repeats": {"reach": 5, "least_spread": 380, "low": False},
 }
+#: The measures of short texts vary more: fences of a text of n words stand farther out by
+#: SHORT / n of their reach.
+SHORT = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -129,7 +132,7 @@ def sketch(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketches: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per (level, lang, source) one row with low_/high_ of each measure.
+    """Per (level, lang, source) one row with low_, high_ and reach_ of each measure.
 
     Level 0 is the group, 1 its language, 2 all documents; only groups of at least
     ``min_docs`` documents, but all documents always.
@@ -154,15 +157,17 @@ def fences(sketches: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     for name, f in FENCES.items():
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(f["least_spread"]))
         mine = F.col("measure") == name
-        low = F.col("q1") - f["reach"] * spread if f["low"] else F.lit(0)
-        picked += [F.max(F.when(mine, low.cast("long"))).alias(f"low_{name}"),
-                   F.max(F.when(mine, (F.col("q3") + f["reach"] * spread).cast("long"))).alias(f"high_{name}")]
+        reach = (f["reach"] * spread).cast("long")
+        low = F.col("q1") - reach if f["low"] else F.lit(-(1 << 40))
+        picked += [F.max(F.when(mine, low)).alias(f"low_{name}"),
+                   F.max(F.when(mine, F.col("q3") + reach)).alias(f"high_{name}"),
+                   F.max(F.when(mine, reach)).alias(f"reach_{name}")]
     return rows.groupBy("level", "lang", "source").agg(*picked)
 
 
 def judge(measured: DataFrame, fenced: DataFrame) -> DataFrame:
     """Add base_failed and kept. The fences join on (lang, source), nulls being a value."""
-    names = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
+    names = [f"{side}_{m}" for m in MEASURES for side in ("low", "high", "reach")]
     level = lambda i, *on: fenced.where(F.col("level") == i).select(
         *[F.col(c).alias(f"f_{c}") for c in on], F.struct(*names).alias(f"f{i}"))
     eq = lambda c: F.col(c).eqNullSafe(F.col(f"f_{c}"))
@@ -170,7 +175,8 @@ def judge(measured: DataFrame, fenced: DataFrame) -> DataFrame:
     out = out.drop("f_lang", "f_source").join(level(1, "lang"), eq("lang"), "left").drop("f_lang")
     whole = fenced.where(F.col("level") == 2).select(F.first(F.struct(*names)))
     out = out.withColumn("f", F.coalesce("f0", "f1", whole.scalar()))
-    inside = [F.col(m).between(F.col(f"f.low_{m}"), F.col(f"f.high_{m}")) for m in MEASURES]
+    slack = {m: F.expr(f"f.reach_{m} * {SHORT} div greatest(n_words, 1)") for m in MEASURES}
+    inside = [F.col(m).between(F.col(f"f.low_{m}") - slack[m], F.col(f"f.high_{m}") + slack[m]) for m in MEASURES]
     good = inside[0]
     for x in inside[1:]:
         good = good & x
@@ -236,17 +242,17 @@ lv as (select 0 as level, lang, source, measure, bucket from b union all select
        union all select 2, null, null, measure, bucket from b),
 q as (select level, lang, source, measure, quantile_disc(bucket, 0.25) as q1, quantile_disc(bucket, 0.75) as q3, count(*) as n
       from lv group by 1, 2, 3, 4 having level = 2 or count(*) >= 100),
-f as (select level, lang, source, max(case when measure = 'word_length' then q1 - 5 * greatest(q3 - q1, 300) end) as lo,
-             max(case when measure = 'word_length' then q3 + 5 * greatest(q3 - q1, 300) end) as hi,
-             max(case when measure = 'symbols' then q3 + 5 * greatest(q3 - q1, 300) end) as sy,
-             max(case when measure = 'dup_lines' then q3 + 5 * greatest(q3 - q1, 600) end) as du,
-             max(case when measure = 'repeats' then q3 + 5 * greatest(q3 - q1, 300) end) as re from q group by 1, 2, 3),
-j as (select v.*, coalesce(a, b, c) as t from v
-      left join (select lang, source, {lo: lo, hi: hi, sy: sy, du: du, re: re} as a from f where level = 0) fa
-        on v.lang is not distinct from fa.lang and v.source is not distinct from fa.source
-      left join (select lang, {lo: lo, hi: hi, sy: sy, du: du, re: re} as b from f where level = 1) fb on v.lang is not distinct from fb.lang
-      left join (select {lo: lo, hi: hi, sy: sy, du: du, re: re} as c from f where level = 2) fc on true)
-select doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and word_length between t.lo and t.hi and symbols <= t.sy and dup_lines <= t.du and repeats <= t.re as kept
+k as (select level, lang, source, measure, q1, q3, case measure when 'dup_lines' then 600 when 'repeats' then 380 else 300 end as least from q),
+f as (select level, lang, source, map_from_entries(list({k: measure, v: {
+               lo: case when measure = 'word_length' then q1 - 5 * greatest(q3 - q1, least) else -1099511627776 end,
+               hi: q3 + 5 * greatest(q3 - q1, least), re: 5 * greatest(q3 - q1, least)}})) as t from k group by 1, 2, 3),
+j as (select v.*, coalesce(fa.t, fb.t, fc.t) as t, greatest(n_words, 1) as n from v
+      left join (select * from f where level = 0) fa on v.lang is not distinct from fa.lang and v.source is not distinct from fa.source
+      left join (select * from f where level = 1) fb on v.lang is not distinct from fb.lang
+      left join (select * from f where level = 2) fc on true)
+select doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, not base_failed
+       and word_length between t['word_length'].lo - t['word_length'].re * 20 // n and t['word_length'].hi + t['word_length'].re * 20 // n
+       and symbols <= t['symbols'].hi + t['symbols'].re * 20 // n and dup_lines <= t['dup_lines'].hi + t['dup_lines'].re * 20 // n
+       and repeats <= t['repeats'].hi + t['repeats'].re * 20 // n as kept
 from j
 """
