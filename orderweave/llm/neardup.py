@@ -9,10 +9,11 @@
    floor(31 / 16) = 1 error, so it agrees on one of the chunk's four keys that leave out one
    position. 64 keys per class replace the comparison with all others.
 3. Pairs from shared keys are confirmed on the full sets. First each member of a key with the
-   key's leader, which ties large groups of copies together in as many pairs as members; then,
-   for keys whose members are not yet one component, the pairs across components whose
-   signatures are within 31. Keys with many members are cut into blocks for that, so that no
-   task holds more than two blocks; nothing is dropped.
+   key's leader, its smallest doc_id, which ties large groups of copies together in as many
+   pairs as members. Then the members of a leader that are not yet one component meet in a
+   cell, where pairs across components whose signatures are within 31 are confirmed; only
+   links that merge components leave it. The members of a large leader are cut into blocks,
+   and each two blocks are a cell, so that no task holds more; nothing is dropped.
 4. Components of the confirmed links; the smallest doc_id names each.
 """
 
@@ -27,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderweave.llm.components import components
+from orderweave.llm.groups import groups
 from orderweave.llm.words import Words, mixed, range_hashes, steps, words_of
 from orderweave.session import stored
 
 POSITIONS, CHUNK, RADIUS = 64, 4, 31
 PERCENT = 80
-#: Members of one key that a task compares with as many others at once.
-BLOCK = 2048
+#: Members of one leader in a block, on average; a cell holds two blocks.
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,55 +168,77 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(shared: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """a, b: pairs of a shared key in different components, within RADIUS."""
-    rows = shared.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(
-        "lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(rows.join(open_keys, "key"), "neardup-open")
-    rows = rows.join(signed.select("rep", "sig"), "rep")
+def bits_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit map of each set, 16 bits per element of the largest but 65,536 at most."""
+    width = 1 << min(16, max(9, (16 * max(map(len, sets)) - 1).bit_length()))
+    out = np.zeros((len(sets), width), bool)
+    for i, x in enumerate(sets):
+        out[i, (x % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def links_in(comp: np.ndarray, block: np.ndarray, crossing: bool, sets: list[np.ndarray], sig: np.ndarray,
+             percent: int) -> list[tuple[int, int]]:
+    """Links that tie different components of a cell together; each found one merges two.
+
+    A pair is looked at if its signatures are within RADIUS, and confirmed on the full sets
+    unless an upper bound of the intersection already rules it out: common bits, plus the
+    elements that share a bit with another of their own set.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    bits = bits_of(sets)
+    hidden = size - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    comp, found = comp.copy(), []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        j = j[comp[j] != comp[i]]
+        if crossing:
+            j = j[block[j] != block[i]]
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        ok = np.minimum(size[i], size[j]) >= need
+        j, need = j[ok], need[ok]
+        ok = np.count_nonzero(sig[j] != sig[i], axis=1) <= RADIUS
+        j, need = j[ok], need[ok]
+        most = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64) + np.minimum(hidden[j], hidden[i])
+        for x, least in zip(j[most >= need].tolist(), need[most >= need].tolist(), strict=True):
+            if comp[x] != comp[i] and len(np.intersect1d(sets[i], sets[x], assume_unique=True)) >= least:
+                found.append((i, x))
+                comp[comp == comp[x]] = comp[i]
+    return found
+
+
+def across(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: confirmed links between members of a leader that are in different components."""
+    rows = members.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "leader", "rep", F.coalesce("component", "rep").alias("comp"))
+    # Two members and no more are the leader and a text that it was compared with.
+    open_groups = rows.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(
+        "lo < hi and n > 2").select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(open_groups, "leader").join(texts, F.col("rep") == F.col("doc_id"))
     # A member of block i meets those of block j in the cell (least, greatest) of both.
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "sig")
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def pairs(held: pa.Table) -> pa.RecordBatch:
-        key, i, j, block, rep, comp = (held.column(c).to_numpy() for c in range(6))
-        sig = np.frombuffer(b"".join(held.column(6).to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        n, found = len(key), []
-        at, step = np.arange(n), 0
-        while len(at):
-            step += 1
-            at = at[at + step < n]
-            to = at + step
-            at = at[(key[at] == key[to]) & (i[at] == i[to]) & (j[at] == j[to])]
-            x = at[comp[at] != comp[at + step]]
-            x = x[(i[x] == j[x]) | (block[x] != block[x + step])]
-            x = x[np.count_nonzero(sig[x] != sig[x + step], axis=1) <= RADIUS]
-            if len(x):
-                found.append(np.stack([np.minimum(rep[x], rep[x + step]), np.maximum(rep[x], rep[x + step])], 1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1].astype(np.int64))], names=["a", "b"])
+        "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "packed")
+    cells = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in batches:
-            if not b.num_rows:
+        unpack = zstandard.ZstdDecompressor()
+        for t in groups(batches, 3):
+            block, rep, comp = (t.column(c).to_numpy() for c in (3, 4, 5))
+            if (comp == comp[0]).all():
                 continue
-            held = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            # The last cell may go on in the next batch.
-            last = [held.column(c)[held.num_rows - 1].as_py() for c in range(3)]
-            same = np.logical_and.reduce([held.column(c).to_numpy() == last[c] for c in range(3)])
-            cut = int(np.argmax(same))
-            if cut:
-                yield pairs(held.slice(0, cut))
-            rest = held.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield pairs(rest)
+            sets, sigs = [], []
+            for part in steps(iter([pa.RecordBatch.from_arrays(
+                    [pa.array([unpack.decompress(x) for x in t.column(6).to_pylist()], pa.large_binary())], names=["text"])])):
+                w = words_of(part.column(0), lower=True)
+                one, docs = shingle_sets(w, k)
+                sets += np.split(one, np.searchsorted(docs, np.arange(1, part.num_rows)))
+                sigs.append(signatures(w, k)[3])
+            found = links_in(comp, block, t.column(1)[0].as_py() != t.column(2)[0].as_py(), sets, np.concatenate(sigs), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([int(rep[x]) for x, _ in found], pa.int64()),
+                                              pa.array([int(rep[y]) for _, y in found], pa.int64())], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def unlinked(signed: DataFrame) -> DataFrame:
@@ -247,15 +271,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Data
         return found.union(unlinked(signed.where("doc_id is null")))
     keys = keys_of(classes)
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    shared = stored(keys.join(leaders, "key"), "neardup-shared")
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    members = stored(keys.join(leaders, "key").select("leader", "rep").distinct(), "neardup-members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(packed_texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "neardup-texts")
-    star = shared.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(confirmed(star, texts, k, percent), "neardup-links")
-    labels = stored(components(links, "neardup-star"), "neardup-labels")
-    more = stored(confirmed(across(shared, labels, classes), texts, k, percent), "neardup-more")
+    star = members.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    labels = stored(components(confirmed(star, texts, k, percent), "neardup-star"), "neardup-labels")
+    more = stored(across(members, labels, texts, k, percent), "neardup-more")
     if not more.isEmpty():
-        labels = stored(components(links.union(more), "neardup-all"), "neardup-labels")
+        # Only components that these links tie together change their names.
+        at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at"))
+        tied = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+            F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b"))
+        tied = stored(components(tied, "neardup-tied"), "neardup-tied")
+        every = labels.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+        labels = every.join(tied.select(F.col("node").alias("component"), F.col("component").alias("name")), "component", "left").select(
+            "node", F.coalesce("name", "component").alias("component"))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(named, ["set_a", "set_b", "n_shingles"], "left")
