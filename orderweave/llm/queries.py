@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm import langid, mixing, neardup, pii, quality, sharding, substrings, urlfilter
+from orderweave.llm import langid, mixing, neardup, pieces, pii, quality, sharding, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.of(), "doc_id")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", "more", "round_trip")
+
+
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minimax_sharding": op6_minimax_sharding,
     "op7_pii_deobfuscation": op7_pii_deobfuscation,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_nbest_pieces": op9_nbest_pieces,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 ORACLE: dict[str, str] = {
