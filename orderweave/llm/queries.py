@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm import langid, mixing, neardup, pieces, pii, quality, sharding, substrings, urlfilter
+from orderweave.llm import langid, mixing, neardup, pieces, pii, quality, sharding, substrings, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op2_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_maxscore_topk": op2_maxscore_topk,
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
     "op5_substring_dedup": op5_substring_dedup,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_maxscore_topk": topk.ORACLE,
     "op4_url_filters": urlfilter.ORACLE,
     "op5_substring_dedup": substrings.ORACLE,
     "op8_minhash_near_dedup": neardup.ORACLE,
