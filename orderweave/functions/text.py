@@ -112,13 +112,11 @@ def table_unit(c: Column) -> Column:
 
 def payload_unit(c: Column) -> Column:
     """Unit of measure of any spelling, accents ignored; NULL when unknown."""
-    spellings = {w: unit for unit, words in fv.PAYLOAD_UNITS.items() for w in words.split()}
-
     def read(word: Column) -> Column:
         by_part = (F.when(word.rlike("stk|stuck|piece|pcs"), "PCE")
                    .when(word.rlike("^kg|kilogram"), "KGM")
                    .when(word.contains("ton"), "TNE")
                    .when(word.contains("met"), "MTR"))
-        return F.when(word != "", F.coalesce(lookup(word, spellings), by_part))
+        return F.when(word != "", F.coalesce(lookup(word, fv.PAYLOAD_UNITS), by_part))
 
     return let(F.lower(strip(ascii_fold(c, german=False))), read)

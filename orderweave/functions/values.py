@@ -59,14 +59,20 @@ def millimetres(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
 
 
+def representable(c: Column) -> Column:
+    """Is the number finite and within the digits of a message?"""
+    return ~F.isnan(c) & (F.abs(c) < F.lit(1e20))
+
+
 def quantity_text(c: Column) -> Column:
     """Integral values without decimals, others with up to three.
 
     Rounds the printed decimal value half to even, so only values with four or
-    more decimals can differ from rounding the binary value.
+    more decimals can differ from rounding the binary value. NULL where
+    ``representable`` is false.
     """
-    rounded = F.bround(c.cast("decimal(38,18)"), 3).cast("decimal(38,3)").cast("string")
-    return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(
+    rounded = F.bround(c.try_cast("decimal(38,18)"), 3).cast("decimal(38,3)").cast("string")
+    return F.when(c == F.floor(c), c.try_cast("decimal(38,0)").cast("string")).otherwise(
         F.regexp_replace(rounded, r"\.?0+$", ""))
 
 

@@ -83,24 +83,36 @@ def order_change_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
 
 def compare_extractions(a: DataFrame, b: DataFrame, fields: list[str],
                         keys: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
-    """Fields in which two extractions of the same line disagree."""
-    left = a.select(*keys, *[F.col(f).alias(f"a_{f}") for f in fields])
-    right = b.select(*keys, *[F.col(f).alias(f"b_{f}") for f in fields])
+    """Fields in which two extractions of the same line disagree.
+
+    A line that only one of them has is one row with the flag ``line_missing``, the field
+    ``a`` or ``b`` that lacks it, and no values.
+    """
+    left = a.select(*keys, F.lit(True).alias("_a"), *[F.col(f).alias(f"a_{f}") for f in fields])
+    right = b.select(*keys, F.lit(True).alias("_b"), *[F.col(f).alias(f"b_{f}") for f in fields])
     rows = F.filter(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").cast("string").alias("value_a"),
                  F.col(f"b_{f}").cast("string").alias("value_b"),
                  (~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))).alias("differs"))
         for f in fields]), lambda r: r["differs"])
-    return (left.join(right, list(keys)).select(*keys, F.explode(rows).alias("r"))
+    lacking = F.when(F.col("_a").isNull(), "a").when(F.col("_b").isNull(), "b")
+    none = F.lit(None).cast("string")
+    one_sided = F.array(F.struct(lacking.alias("field"), none.alias("value_a"),
+                                 none.alias("value_b"), F.lit(True).alias("differs")))
+    shown = F.when(lacking.isNotNull(), one_sided).otherwise(rows)
+    return (left.join(right, list(keys), "full_outer")
+            .select(*keys, lacking.isNotNull().alias("_alone"), F.explode(shown).alias("r"))
             .select(*keys, "r.field", "r.value_a", "r.value_b",
-                    F.lit("metadata_mismatch").alias("flag")))
+                    F.when(F.col("_alone"), "line_missing").otherwise("metadata_mismatch")
+                    .alias("flag")))
 
 
 def qty_plausibility(lines: DataFrame, catalog: DataFrame, factor: float = 10.0) -> DataFrame:
     """Quantity of each line in kg, metres and pieces, and whether it is an outlier.
 
     A line is an outlier when its weight is more than ``factor`` times above or below
-    the mean weight of the lines for the same item.
+    the mean weight of the lines for the same item. Lines without a catalog item stay, with
+    what can be told without its weight, and are no outliers.
     """
     items = catalog.select(F.col("internal_code").alias("resolved_internal_code"),
                            "weight_kg_per_m")
@@ -109,11 +121,12 @@ def qty_plausibility(lines: DataFrame, catalog: DataFrame, factor: float = 10.0)
     metres = (F.when(F.col("unit") == "MTR", q).when(F.col("unit") == "PCE", q * length)
               .when(F.col("unit") == "KGM", q / weight)
               .when(F.col("unit") == "TNE", q * 1000 / weight))
-    sized = lines.join(items, "resolved_internal_code").withColumn("metres", metres).withColumns({
+    sized = lines.join(items, "resolved_internal_code", "left").withColumn("metres", metres).withColumns({
         "kg": F.when(F.col("unit") == "KGM", q).when(F.col("unit") == "TNE", q * 1000)
         .otherwise(F.col("metres") * weight),
         "pieces": F.when(F.col("unit") == "PCE", q).otherwise(F.col("metres") / length)})
-    usual = sized.groupBy("resolved_internal_code").agg(F.avg("kg").alias("mean_kg"))
+    known = sized.where(F.col("resolved_internal_code").isNotNull())
+    usual = known.groupBy("resolved_internal_code").agg(F.avg("kg").alias("mean_kg"))
     ratio = F.col("kg") / F.nullif(F.col("mean_kg"), F.lit(0.0))
-    return sized.join(usual, "resolved_internal_code").withColumn(
+    return sized.join(usual, "resolved_internal_code", "left").withColumn(
         "outlier", F.coalesce((ratio > factor) | (ratio < 1 / factor), F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderweave import fixed_values as fv
 from orderweave.functions.text import norm_code, strip
 from orderweave.operators.joins import with_defaults
+from orderweave.operators.resolution import catalog_index
 
 
 def flags_column(code: Column, tier: Column, quantity: Column, unit: Column,
@@ -43,10 +44,7 @@ def apply_edits(lines: DataFrame, edits: DataFrame, catalog: DataFrame
     ``(customer_code, customer_part_code, internal_code, seq)`` rows. Of several
     valid edits to one line the highest ``edit_id`` stands.
     """
-    active = (catalog.where(F.col("status") == "A")
-              .select(F.upper(strip(F.col("internal_code"))).alias("_code"),
-                      F.col("internal_code").alias("_item"))
-              .groupBy("_code").agg(F.min("_item").alias("_item")))
+    active = catalog_index(catalog).withColumnRenamed("_catalog_code", "_item")
     known = lines.select("order_id", "line_no", "customer", "extracted_code",
                          F.lit(True).alias("_known"))
     judged = (

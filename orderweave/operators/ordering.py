@@ -1,66 +1,13 @@
-"""Positions and ordered chunks inside groups of any size."""
+"""Rows of a group as one ordered list."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderweave.session import stored
 
-# Groups up to this many rows are one chunk; larger ones come in chunks of this size.
-GROUP_ROWS = 20_000
-
-
-def any_larger(sizes: DataFrame, column: str, group_rows: int) -> bool:
-    """Does any group exceed the limit? Reads a stored table of group sizes."""
-    return bool(sizes.where(F.col(column) > group_rows).take(1))
-
-
-def _positions_across_tasks(df: DataFrame, keys: list[str], sort: list[str]) -> DataFrame:
-    """``position`` inside groups too large for one task.
-
-    A range partitioning on key and sort columns cuts a group into ordered pieces;
-    the position is the place in the piece plus the rows of earlier pieces. The pieces
-    are stored, because a repeated sampling could draw other borders.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = stored(df.repartitionByRange(tasks, *keys, *sort).withColumn(
-        "_piece", F.spark_partition_id()), "large-groups")
-    earlier = Window.partitionBy(*keys).orderBy("_piece")
-    counted = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_rows"))
-    before = counted.select(*keys, "_piece", (
-        F.sum("_rows").over(earlier) - F.col("_rows")).alias("_before"))
-    inside = Window.partitionBy(*keys, "_piece").orderBy(*sort)
-    return (pieces.withColumn("_inside", F.row_number().over(inside))
-            .join(before, [*keys, "_piece"])
-            .withColumn("position", F.col("_before") + F.col("_inside"))
-            .drop("_piece", "_before", "_inside"))
-
-
-def chunked(df: DataFrame, keys: list[str], sort: list[str], size: Column, large: bool,
-            group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Adds ``position`` (1-based), ``chunk`` (0-based, in order) and ``chunks``.
-
-    ``size`` is the number of rows of the row's group and ``large`` tells whether any
-    group exceeds ``group_rows``; only then are such groups treated apart.
-    """
-    whole = Window.partitionBy(*keys).orderBy(*sort)
-
-    def in_one_task(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({
-            "position": F.row_number().over(whole).cast("bigint"),
-            "chunk": F.lit(0).cast("bigint"), "chunks": F.lit(1).cast("bigint")})
-
-    if not large:
-        return in_one_task(df)
-    small = in_one_task(df.where(size <= group_rows))
-    big = _positions_across_tasks(df.where(size > group_rows), keys, sort).withColumns({
-        "chunk": F.floor((F.col("position") - 1) / group_rows),
-        "chunks": F.ceil(size / group_rows)})
-    return small.unionByName(big)
-
-
-def ordered_list(item: Column, position: Column) -> Column:
-    """Aggregate: the items of a group in order of their position."""
-    rows = F.array_sort(F.collect_list(F.struct(position.alias("p"), item.alias("v"))))
+def ordered_list(item: Column, *sort: Column) -> Column:
+    """Aggregate: the items of a group in the order of the sort columns."""
+    rows = F.array_sort(F.collect_list(F.struct(
+        *[c.alias(f"s{i}") for i, c in enumerate(sort)], item.alias("v"))))
     return F.transform(rows, lambda r: r["v"])

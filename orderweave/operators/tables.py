@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from orderweave import fixed_values as fv
 from orderweave.functions.text import strip
 from orderweave.operators.joins import all_of, any_of
 
-MAX_PAGE = 500
 _COMPARE = {
     "eq": Column.__eq__, "lt": Column.__lt__, "lte": Column.__le__,
     "gt": Column.__gt__, "gte": Column.__ge__,
@@ -30,7 +30,9 @@ def literal(text: str, dtype: T.DataType) -> Column:
         return F.lit(text)
     if isinstance(dtype, T.IntegralType):
         return F.lit(int(text)).cast(dtype)
-    if isinstance(dtype, (T.FractionalType, T.DecimalType)):
+    if isinstance(dtype, T.DecimalType):
+        return F.lit(Decimal(text))
+    if isinstance(dtype, T.FractionalType):
         return F.lit(float(text))
     if isinstance(dtype, T.BooleanType):
         return F.lit(text.lower() in _TRUE_WORDS)
@@ -118,11 +120,11 @@ def decimals_as_double(df: DataFrame) -> DataFrame:
 
 def query_table(df: DataFrame, filters: dict[str, str] | None = None,
                 columns: list[str] | None = None, order_by: str | None = None,
-                limit: int = 100, offset: int = 0, key: list[str] | None = None
-                ) -> DataFrame:
-    """One page of a table."""
-    if not 1 <= limit <= MAX_PAGE or offset < 0:
-        raise ValueError(f"limit must be 1..{MAX_PAGE} and offset not negative")
+                limit: int = 100, offset: int = 0, key: list[str] | None = None,
+                max_page: int | None = None) -> DataFrame:
+    """One page of a table. ``max_page`` refuses larger pages, if the caller wants that."""
+    if limit < 1 or offset < 0 or (max_page is not None and limit > max_page):
+        raise ValueError(f"limit must be 1..{max_page or 'any'} and offset not negative")
     found = df.where(filter_column(df, filters or {}))
     order = sort_columns(order_by, key or [])
     page = (found.orderBy(*order) if order else found).offset(offset).limit(limit)
@@ -263,6 +265,39 @@ def update_first(df: DataFrame, filters: dict[str, str], changes: dict, key: str
     return done.drop("_hit"), done.where("_hit").drop("_hit")
 
 
+def update_document_first(df: DataFrame, filters: dict, changes: dict[str, str], doc: str = "doc",
+                          key: str = "_id") -> tuple[DataFrame, DataFrame]:
+    """Set top-level fields of the first matching document, by ``key``.
+
+    ``changes`` maps fields to JSON texts. Returns the documents and the new document, which
+    is no row if none matches.
+    """
+    first = df.where(document_filter(df, filters, doc)).agg(F.min(key).alias("_first")).scalar()
+    hit = F.coalesce(F.col(key) == first, F.lit(False))
+    members = F.coalesce(F.try_variant_get(doc, "$", "map<string, variant>"),
+                         F.create_map().cast("map<string, variant>"))
+    put = F.create_map(*[x for k, v in changes.items() for x in (F.lit(k), F.parse_json(F.lit(v)))])
+    kept = F.map_filter(members, lambda k, _: ~k.isin(list(changes)))
+    done = df.withColumn("_hit", hit).withColumn(
+        doc, F.when(F.col("_hit"), F.to_variant_object(F.map_concat(kept, put))).otherwise(F.col(doc)))
+    return done.drop("_hit"), done.where("_hit").drop("_hit")
+
+
+def delete_documents(df: DataFrame, filters: dict, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """The documents that stay, and one row ``deleted`` with the number of the others."""
+    hit = F.coalesce(document_filter(df, filters, doc), F.lit(False))
+    return df.where(~hit), df.where(hit).agg(F.count("*").alias("deleted"))
+
+
+def find_document(df: DataFrame, filters: dict, doc: str = "doc", key: str = "_id") -> DataFrame:
+    """The first matching document by ``key``; the job fails if there is none."""
+    found = df.where(document_filter(df, filters, doc)).orderBy(key).limit(1)
+    one = found.agg(F.count("*").alias("n"), F.first(F.struct(*df.columns)).alias("found"))
+    missing = F.raise_error(F.lit("no document matches"))
+    return one.select(F.when(F.col("n") > 0, F.col("found")).otherwise(missing).alias("found")).select(
+        "found.*")
+
+
 def delete_where(df: DataFrame, filters: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Remaining rows and the deleted ones; rows with unknown match stay."""
     hit = _matching(df, filters)
@@ -319,6 +354,7 @@ def document_filter(df: DataFrame, filters: dict, doc: str = "doc") -> Column:
         if op == "$in":
             return any_of(one(name, "$eq", v) for v in value)
         if op == "$ne":
+            # Negation needs a plain truth value; elsewhere where() drops NULL by itself.
             return ~F.coalesce(one(name, "$eq", value), F.lit(False))
         if op == "$eq" and value is None:
             return ~_exists(df, name, doc)
@@ -336,7 +372,7 @@ def document_filter(df: DataFrame, filters: dict, doc: str = "doc") -> Column:
             predicates += [one(name, op, value) for op, value in spec.items()]
         else:
             predicates.append(one(name, "$eq", spec))
-    return F.coalesce(all_of(predicates), F.lit(False))
+    return all_of(predicates)
 
 
 def document_projection(df: DataFrame, fields: dict[str, int], doc: str = "doc"
@@ -351,8 +387,16 @@ def document_projection(df: DataFrame, fields: dict[str, int], doc: str = "doc"
         return ([F.col("_id")] if with_id else []) + [
             F.col(n) if n in df.columns else
             F.try_variant_get(doc, f"$.{n}", "string").alias(n) for n in names]
-    return [F.col(c) for c in df.columns
-            if not (c in fields and c != "_id") and (c != "_id" or with_id)]
+    inner = [n for n in fields if n != "_id" and n not in df.columns]
+    return [without_fields(F.col(c), inner).alias(c) if c == doc and inner else F.col(c)
+            for c in df.columns if not (c in fields and c != "_id") and (c != "_id" or with_id)]
+
+
+def without_fields(doc: Column, names: list[str]) -> Column:
+    """A variant object without some of its top-level fields; other variants as they are."""
+    members = F.try_variant_get(doc, "$", "map<string, variant>")
+    return F.when(members.isNull(), doc).otherwise(F.to_variant_object(
+        F.map_filter(members, lambda k, _: ~k.isin(names))))
 
 
 def query_documents(df: DataFrame, filters: dict | None = None,

@@ -112,7 +112,9 @@ def usage_trailing(usages: DataFrame, bucket_seconds: int = 60) -> DataFrame:
                          F.unix_micros("timestamp").alias("at"), "tokens",
                          F.col("cost").cast("decimal(28,9)").alias("cost"))
     scoped = base.withColumn("scope", F.explode(F.array(
-        F.concat(F.lit("p:"), F.coalesce("own_path", F.lit(""))), F.lit("all"))))
+        # Entries without a path are a scope of their own, apart from an empty path.
+        F.when(F.col("own_path").isNull(), "none").otherwise(
+            F.concat(F.lit("p:"), "own_path")), F.lit("all"))))
 
     def mark(at: Column, kind: str, order: int, with_sum: bool) -> Column:
         return F.struct(

@@ -283,10 +283,21 @@ def edi_validate(spark, sf):
     return verdicts.select("file", "accepted", F.array_join("rules", "|").alias("rules"))
 
 
+def edi_validate_bulk(spark, sf):
+    """Many interchanges per file, as the bulk export writes them."""
+    names = F.concat(F.lit("bulk"), (F.col("file") % 40).cast("string")).alias("file")
+    bulk = _edi_files(spark, sf).groupBy(names).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("file").alias("o"), "text"))),
+                                 lambda r: r["text"]), "").alias("text"))
+    segments = interchange.edi_scan(bulk)
+    _, verdicts = interchange.edi_validate(segments, fx.catalog(spark, sf), RULES_AS_OF)
+    return verdicts.select("file", "interchange_no", "accepted", F.array_join("rules", "|").alias("rules"))
+
+
 def edi_violations(spark, sf):
     segments = interchange.edi_scan(_edi_files(spark, sf))
     broken, _ = interchange.edi_validate(segments, fx.catalog(spark, sf), RULES_AS_OF)
-    return broken.where("rule IN ('L3', 'L5')").select("file", "rule", "line_index", "code")
+    return broken.select("file", "rule", "line_index", "code")
 
 
 # --- checks --------------------------------------------------------------------------------------
@@ -339,15 +350,15 @@ def compare_extractions(spark, sf):
         "quantity": F.when(F.col("l_partkey") % 13 == 0, F.col("quantity") - 20)
         .otherwise(F.col("quantity")),
         "unit": F.when(F.col("l_partkey") % 17 == 0, "MTR").otherwise(F.col("unit"))})
-    return checks.compare_extractions(a, b, ["quantity", "unit"]).select(
-        "doc_id", "line_no", "field", "flag")
+    a, b = a.where("l_partkey % 29 <> 0"), b.where("l_partkey % 31 <> 0")
+    return checks.compare_extractions(a, b, ["quantity", "unit"])
 
 
 def qty_plausibility(spark, sf):
     weights = fx.catalog(spark, sf).withColumn(
         "weight_kg_per_m", (F.col("p_partkey") % 50 + 1) / 10)
-    lines = resolution.match_exact(fx.lines(spark, sf), weights).where(
-        "exact_code IS NOT NULL").withColumnRenamed("exact_code", "resolved_internal_code")
+    lines = resolution.match_exact(fx.lines(spark, sf), weights).withColumnRenamed(
+        "exact_code", "resolved_internal_code")
     lines = lines.withColumn("length_mm", F.when(
         F.col("l_partkey") % 4 != 0, (F.col("l_partkey") % 6 + 1) * 1000.0))
     found = checks.qty_plausibility(lines, weights)
@@ -377,7 +388,7 @@ QUERIES = {f.__name__: f for f in (
     file_manifest_children, file_manifest_refused, directory_totals, parse_order_tables,
     parse_order_tables_orders, parse_json_payloads, parse_json_payloads_orders,
     standardise_lines, unmapped_values, route_extraction, route_extraction_refused,
-    provenance_log, edi_scan, edi_lines, edi_validate, edi_violations, extraction_score,
+    provenance_log, edi_scan, edi_lines, edi_validate, edi_validate_bulk, edi_violations, extraction_score,
     order_change_lines, order_change_diff, compare_extractions, qty_plausibility,
     intake_stream)}
 
@@ -479,13 +490,13 @@ _QTY = {
     "m": """SELECT e.order_id, e.line_no, e.resolved, e.quantity AS q, e.unit,
                    (c.p_partkey % 50 + 1) / 10.0::DOUBLE AS w,
                    CASE WHEN e.l_partkey % 4 <> 0 THEN (e.l_partkey % 6 + 1)::DOUBLE END AS len
-            FROM ex e JOIN fx_catalog c ON c.internal_code = e.resolved""",
+            FROM ex e LEFT JOIN fx_catalog c ON c.internal_code = e.resolved""",
     "mm": """SELECT *, CASE unit WHEN 'MTR' THEN q WHEN 'PCE' THEN q * len WHEN 'KGM' THEN q / w
                             WHEN 'TNE' THEN q * 1000 / w END AS metres FROM m""",
     "kk": """SELECT *, CASE unit WHEN 'KGM' THEN q WHEN 'TNE' THEN q * 1000
                             ELSE metres * w END AS kg,
                     CASE WHEN unit = 'PCE' THEN q ELSE metres / len END AS pieces FROM mm""",
-    "mean": "SELECT resolved, avg(kg) AS mean_kg FROM kk GROUP BY 1",
+    "mean": "SELECT resolved, avg(kg) AS mean_kg FROM kk WHERE resolved IS NOT NULL GROUP BY 1",
 }
 
 ORACLE = {
@@ -593,9 +604,20 @@ ORACLE = {
             CASE order_id % 8 WHEN 0 THEN 'R1' WHEN 1 THEN 'R5' WHEN 2 THEN 'R7'
                  WHEN 3 THEN 'R9' END) AS rules FROM lr GROUP BY order_id"""}, """
         SELECT order_id AS file, rules = '' AS accepted, rules FROM v"""),
+    "edi_validate_bulk": with_views("fx_lines fx_orders", {**_LINE_RULES, "v": """
+        SELECT order_id, concat_ws('|', max(l3), max(l4), max(l5), max(l6),
+            CASE order_id % 8 WHEN 0 THEN 'R1' WHEN 1 THEN 'R5' WHEN 2 THEN 'R7'
+                 WHEN 3 THEN 'R9' END) AS rules FROM lr GROUP BY order_id"""}, """
+        SELECT concat('bulk', order_id % 40) AS file,
+               row_number() OVER (PARTITION BY order_id % 40 ORDER BY order_id) AS interchange_no,
+               rules = '' AS accepted, rules FROM v"""),
     "edi_violations": with_views("fx_lines fx_orders", _LINE_RULES, """
         SELECT order_id AS file, l3 AS rule, k AS line_index, code FROM lr WHERE l3 IS NOT NULL
-        UNION ALL SELECT order_id, l5, k, code FROM lr WHERE l5 IS NOT NULL"""),
+        UNION ALL SELECT order_id, l4, k, code FROM lr WHERE l4 IS NOT NULL
+        UNION ALL SELECT order_id, l5, k, code FROM lr WHERE l5 IS NOT NULL
+        UNION ALL SELECT order_id, l6, k, code FROM lr WHERE l6 IS NOT NULL
+        UNION ALL SELECT DISTINCT order_id, CASE order_id % 8 WHEN 0 THEN 'R1' WHEN 1 THEN 'R5'
+            WHEN 2 THEN 'R7' ELSE 'R9' END, NULL, NULL FROM lr WHERE order_id % 8 < 4"""),
     "extraction_score": with_views("fx_lines", _SCORE, """
         SELECT customer, strategy, count(*) AS documents,
                count(*) FILTER (WHERE expected = produced) AS line_count_ok,
@@ -621,15 +643,22 @@ ORACLE = {
                        WHEN line_added + line_cancelled + quantity_changed + date_moved > 0
                        THEN 'possible_change' ELSE 'unchanged' END AS verdict FROM per"""),
     "compare_extractions": with_views("fx_lines", {}, """
-        SELECT order_id AS doc_id, line_no, 'quantity' AS field, 'metadata_mismatch' AS flag
+        SELECT order_id AS doc_id, line_no, 'quantity' AS field,
+               printf('%.1f', quantity) AS value_a, printf('%.1f', quantity - 20) AS value_b,
+               'metadata_mismatch' AS flag
         FROM fx_lines WHERE l_partkey % 13 = 0 AND quantity IS NOT NULL
-        UNION ALL SELECT order_id, line_no, 'unit', 'metadata_mismatch' FROM fx_lines
-        WHERE l_partkey % 17 = 0 AND unit IS DISTINCT FROM 'MTR'"""),
+          AND l_partkey % 29 <> 0 AND l_partkey % 31 <> 0
+        UNION ALL SELECT order_id, line_no, 'unit', unit, 'MTR', 'metadata_mismatch' FROM fx_lines
+        WHERE l_partkey % 17 = 0 AND unit IS DISTINCT FROM 'MTR'
+          AND l_partkey % 29 <> 0 AND l_partkey % 31 <> 0
+        UNION ALL SELECT order_id, line_no, CASE WHEN l_partkey % 29 = 0 THEN 'a' ELSE 'b' END,
+                         NULL, NULL, 'line_missing' FROM fx_lines
+        WHERE (l_partkey % 29 = 0) <> (l_partkey % 31 = 0)"""),
     "qty_plausibility": with_views("fx_lines", _QTY, """
         SELECT k.order_id, k.line_no, round(kg, 3) AS kg, round(metres, 3) AS metres,
                round(pieces, 3) AS pieces,
                coalesce(kg / mean_kg > 10 OR kg / mean_kg < 0.1, false) AS outlier
-        FROM kk k JOIN mean USING (resolved)"""),
+        FROM kk k LEFT JOIN mean USING (resolved)"""),
     "intake_stream": with_views("fx_lines fx_aliases", {**_DRAWN, "idx": oq._EXACT["idx"],
                                                        "tiers": """
         SELECT CASE WHEN i.item IS NOT NULL THEN 'exact' ELSE 'other' END AS tier

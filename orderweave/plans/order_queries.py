@@ -158,7 +158,7 @@ def orders_with_lines(spark, sf):
                                       fx.lines(spark, sf).drop("customer"))
     shown = F.transform("lines", lambda r: F.concat_ws(
         ":", r["line_no"], F.coalesce(r["extracted_code"], F.lit("-"))))
-    return nested.select("id", "customer", "chunk", "line_count",
+    return nested.select("id", "customer", "line_count",
                          F.array_join(shown, "|").alias("lines"))
 
 
@@ -174,15 +174,14 @@ def _message_input(spark, sf):
 def generate_messages(spark, sf):
     heads, lines = _message_input(spark, sf)
     return messages.generate_messages(heads, lines, fx.catalog(spark, sf), AS_OF).select(
-        "order_id", "chunk", "edi_text", "segment_count")
+        "order_id", "edi_text", "segment_count")
 
 
 def export_plan(spark, sf):
     heads, lines = _message_input(spark, sf)
     done = heads.where("id % 2 = 0").select(F.col("id").alias("order_id"))
     plan = messages.export_plan(heads, lines, fx.catalog(spark, sf), AS_OF, done)
-    return plan.select("order_id", F.length("edi_text").cast("bigint").alias("chars"),
-                       "segment_count", "status",
+    return plan.select("order_id", "edi_text", "segment_count", "status",
                        F.length("blob_path").cast("bigint").alias("path_chars"))
 
 
@@ -428,14 +427,14 @@ ORACLE = {
     "order_gate_blocking_lines": with_views("fx_lines", _EXACT, """
         SELECT order_id, line_no FROM ex WHERE resolved IS NULL"""),
     "orders_with_lines": with_views("fx_lines fx_orders", {}, """
-        SELECT o.id, o.customer, 0 AS chunk, count(l.order_id) AS line_count,
+        SELECT o.id, o.customer, count(l.order_id) AS line_count,
                coalesce(string_agg(concat(l.line_no, ':', coalesce(l.extracted_code, '-')), '|'
                    ORDER BY l.line_no) FILTER (WHERE l.order_id IS NOT NULL), '') AS lines
         FROM fx_orders o LEFT JOIN fx_lines l ON l.order_id = o.id GROUP BY 1, 2"""),
     "generate_messages": with_views("fx_lines fx_orders", _MESSAGE, """
-        SELECT order_id, 0 AS chunk, edi_text, segment_count FROM full_msg"""),
+        SELECT order_id, edi_text, segment_count FROM full_msg"""),
     "export_plan": with_views("fx_lines fx_orders", _MESSAGE, """
-        SELECT order_id, CAST(length(edi_text) AS BIGINT) AS chars, segment_count,
+        SELECT order_id, edi_text, segment_count,
                'edifact_generated' AS status,
                CAST(27 + length(CAST(order_id AS STRING)) AS BIGINT) AS path_chars
         FROM full_msg WHERE order_id % 2 <> 0"""),

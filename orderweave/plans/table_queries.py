@@ -39,6 +39,34 @@ def query_documents(spark, sf):
         {"k": 1, "event_type": 1}, 100, "000000000100")
 
 
+def _event_documents(spark, sf):
+    return fx.table(spark, sf, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("_id"),
+        F.parse_json(F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"secret":"s","type":"'),
+                              F.col("event_type"), F.lit('"}'))).alias("doc"))
+
+
+def query_documents_without(spark, sf):
+    page = tables.query_documents(_event_documents(spark, sf), {"k": {"$ne": 5}}, {"secret": 0}, 300)
+    return page.select("_id", F.to_json("doc").alias("doc"))
+
+
+def update_document_first(spark, sf):
+    docs, _ = tables.update_document_first(
+        _event_documents(spark, sf), {"type": "click", "k": {"$gt": 40}}, {"k": "-1", "seen": "true"})
+    return docs.select("_id", F.to_json("doc").alias("doc"))
+
+
+def delete_documents(spark, sf):
+    kept, _ = tables.delete_documents(_event_documents(spark, sf), {"type": {"$in": ["click", "view"]}})
+    return kept.select("_id", F.to_json("doc").alias("doc"))
+
+
+def find_document(spark, sf):
+    return tables.find_document(_event_documents(spark, sf), {"k": {"$gte": 90}, "type": "error"}).select(
+        "_id", F.to_json("doc").alias("doc"))
+
+
 def _column_rule(spark, sf):
     """One rule, derived from the customers: hide keys where any customer has one."""
     return fx.customers(spark, sf).where("api_key IS NOT NULL").agg(
@@ -484,7 +512,8 @@ def top_findings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_table, query_documents, column_rules, allowed_columns, merge_rules,
+    query_table, query_documents, query_documents_without, update_document_first, delete_documents,
+    find_document, column_rules, allowed_columns, merge_rules,
     merge_rules_refused, merge_rows_ignore, merge_rows_replace, merge_rows_error, cast_columns,
     update_where, update_first, delete_where, delete_cascade, delete_cascade_parents,
     clear_counts, customer_quality, customer_quality_valid, mask_secrets, active_customers,
@@ -598,6 +627,9 @@ _SEV = ", ".join(
     for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO", "UNKNOWN"))
 _UP = "upper(severity)"
 
+_EVENT_DOCS = """docs AS (SELECT lpad(CAST(event_id AS STRING), 12, '0') AS _id,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS t FROM events)"""
+
 ORACLE = {
     "query_table": """
         SELECT o_orderkey, o_custkey, o_totalprice FROM orders
@@ -610,6 +642,19 @@ ORACLE = {
         WHERE CAST(k AS INT) >= 20 AND CAST(k AS INT) < 90
           AND event_type IN ('click', 'view', 'error') AND _id > '000000000100'
         ORDER BY _id LIMIT 100""",
+    "query_documents_without": f"""
+        WITH {_EVENT_DOCS} SELECT _id, concat('{{"k":', k, ',"type":"', t, '"}}') AS doc FROM docs
+        WHERE k <> 5 ORDER BY _id LIMIT 300""",
+    "update_document_first": f"""
+        WITH {_EVENT_DOCS} SELECT _id, CASE WHEN _id = (SELECT min(_id) FROM docs WHERE t = 'click' AND k > 40)
+            THEN concat('{{"k":-1,"secret":"s","seen":true,"type":"', t, '"}}')
+            ELSE concat('{{"k":', k, ',"secret":"s","type":"', t, '"}}') END AS doc FROM docs""",
+    "delete_documents": f"""
+        WITH {_EVENT_DOCS} SELECT _id, concat('{{"k":', k, ',"secret":"s","type":"', t, '"}}') AS doc FROM docs
+        WHERE t NOT IN ('click', 'view')""",
+    "find_document": f"""
+        WITH {_EVENT_DOCS} SELECT _id, concat('{{"k":', k, ',"secret":"s","type":"', t, '"}}') AS doc FROM docs
+        WHERE k >= 90 AND t = 'error' ORDER BY _id LIMIT 1""",
     "column_rules": with_views("fx_customers", {}, """
         SELECT code, display_name, extraction_strategy, active FROM fx_customers"""),
     "allowed_columns": with_views("", _DESCRIBED, """
@@ -745,7 +790,7 @@ ORACLE = {
                concat('pkg', finding_id) AS "references" FROM fx_findings"""),
     "read_njsscan": with_views("fx_findings", {}, f"""
         SELECT concat('rule', finding_id) AS rule_id,
-               concat(message, ' - ', left(repeat('abc', 50), 100)) AS message,
+               concat(message, ' - ', repeat('abc', 50)) AS message,
                {_UP} AS severity, concat('rule', finding_id) AS file,
                CAST(3 AS BIGINT) AS line_start, CAST(5 AS BIGINT) AS line_end, 'CWE-89' AS cwes,
                'A1:2017' AS owasp_categories, concat('rule', finding_id) AS "references"
@@ -762,9 +807,9 @@ ORACLE = {
         FROM fx_findings WHERE finding_id % 9 <> 0"""),
     "read_trivy": with_views("fx_findings", {}, f"""
         SELECT concat('CVE-', finding_id) AS rule_id,
-               concat(source, '@1.0.1: ', left(repeat(message, 20), 200)) AS message,
+               concat(source, '@1.0.1: ', repeat(message, 20)) AS message,
                {_UP} AS severity, source AS package, '1.0.1' AS version, 'lock' AS target,
-               'CWE-1|CWE-2' AS cwes, 'r0|r1|r2' AS "references" FROM fx_findings"""),
+               'CWE-1|CWE-2' AS cwes, 'r0|r1|r2|r3|r4' AS "references" FROM fx_findings"""),
     "findings_totals": with_views("fx_findings", {}, """
         SELECT source, severity, count(*) AS n FROM fx_findings GROUP BY ROLLUP (1, 2)"""),
     "tag_weaknesses": with_views("fx_findings", {**_MAPPING, "named": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,13 @@ def extension(path: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(path, r"[^/.]\.([^./]+)$", 1)), F.lit(""))
 
 
+def known_media_types() -> dict[str, str]:
+    """Python's own table of media types by extension, without what the machine adds."""
+    return {e.lstrip("."): t for e, t in mimetypes.MimeTypes(filenames=()).types_map[True].items()}
+
+
 def media_type(path: Column, types: dict[str, str] | None = None) -> Column:
-    return F.coalesce(lookup(extension(path), types or fv.MEDIA_TYPES),
+    return F.coalesce(lookup(extension(path), types or known_media_types()),
                       F.lit(fv.DEFAULT_MEDIA_TYPE))
 
 
@@ -52,18 +59,18 @@ def hash_suffix(path: Column, content_key: Column) -> Column:
 
 
 def file_manifest(files: DataFrame, prefix: str = "", recursive: bool = True,
-                  max_bytes: int = fv.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+                  max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Entries below a prefix, and the files refused with a reason.
 
     Recursive listings hold files; others hold the immediate children, directories
     with a trailing ``/``. Both carry file counts and bytes; the refused files
-    (bad path, no extension, over the size cap) are left out of the entries.
+    (bad path, no extension, over ``max_bytes`` if that is given) are left out of the entries.
     """
     below = "" if prefix in ("", "/") else prefix.rstrip("/") + "/"
     listed = files.where(F.col("path").startswith(below)) if below else files
     reason = (F.when(~F.col("path").rlike(fv.VALID_PATH), "invalid_path")
               .when(extension(F.col("path")).isNull(), "no_extension")
-              .when(F.col("length") > max_bytes, "too_large"))
+              .when(F.lit(max_bytes is not None) & (F.col("length") > (max_bytes or 0)), "too_large"))
     judged = listed.withColumn("reason", reason)
     good = judged.where(F.col("reason").isNull())
     rest = F.substring(F.col("path"), F.lit(len(below) + 1), F.length("path"))

@@ -201,9 +201,7 @@ def read_njsscan(reports: DataFrame, source: str) -> DataFrame:
                                 r"A\d{1,2}:\d{4}", 0)
     return _findings(
         rows, source, rule_id=F.col("rule_id"),
-        # The finding's text quotes the first 100 characters of the matched code.
-        message=F.when(match != "", F.concat(told, F.lit(" - "), F.substring(match, 1, 100))
-                       ).otherwise(told),
+        message=F.when(match != "", F.concat(told, F.lit(" - "), match)).otherwise(told),
         severity=F.upper(_get(rule, "$.metadata.severity", "string", "INFO")),
         file=_get(v, "$.file_path", "string", "unknown"), line_start=start,
         line_end=F.coalesce(F.get(span, F.lit(1)), start),
@@ -257,14 +255,13 @@ def read_trivy(reports: DataFrame) -> DataFrame:
     fixed = _get(v, "$.FixedVersion", "string", "")
     return _findings(
         rows, "trivy", rule_id=_get(v, "$.VulnerabilityID", "string", "unknown"),
-        # The finding's text quotes the first 200 characters of the description.
-        message=F.concat(package, F.lit("@"), version, F.lit(": "), F.substring(
-            _get(v, "$.Description", "string", ""), 1, 200)),
+        message=F.concat(package, F.lit("@"), version, F.lit(": "),
+                         _get(v, "$.Description", "string", "")),
         severity=F.upper(_get(v, "$.Severity", "string", "UNKNOWN")), package=package,
         version=version, fix_versions=F.array(fixed),
         target=_get("result", "$.Target", "string", "unknown"), cwes=_texts(v, "$.CweIDs"),
         owasp_categories=_fixed(fv.COMPONENTS_CATEGORY),
-        references=F.slice(_texts(v, "$.References"), 1, 3))
+        references=_texts(v, "$.References"))
 
 
 def union_findings(parts: list[DataFrame]) -> DataFrame:

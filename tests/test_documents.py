@@ -177,26 +177,38 @@ def test_gate(order_tables):
     assert {tuple(r) for r in blocking.collect()} == {(9, "1"), (9, "2")}
 
 
-def test_large_orders_come_in_chunks_that_join_to_the_message(spark, order_tables):
+def test_a_large_order_is_one_message(spark, order_tables):
     heads, _, catalog = order_tables
     lines = spark.createDataFrame(
         [(7, f"{i:06d}", f"text {i}", "AE-2024-034", float(i + 1), "PCE", None, None)
-         for i in range(300)] + [(8, "1", "a", "AE-2024-034", 1.0, "PCE", None, None)],
-        order_tables[1].schema)
-    whole = {r["order_id"]: r["edi_text"] for r in messages.generate_messages(
-        heads, lines, catalog, AS_OF).collect()}
-    rows = messages.generate_messages(heads, lines, catalog, AS_OF, group_rows=70).orderBy(
-        "order_id", "chunk").collect()
-    nested = orders.orders_with_lines(heads.drop("delivery_date_default"), lines, 70)
-    sizes = {(r["id"], r["chunk"]): [x["line_no"] for x in r["lines"]]
-             for r in nested.collect()}
-    parts = [r["edi_text"] for r in rows if r["order_id"] == 7]
-    assert len(parts) == 5
-    assert "".join(parts) == whole[7]
-    assert [r["edi_text"] for r in rows if r["order_id"] == 8] == [whole[8]]
-    joined = [no for k in sorted(k for k in sizes if k[0] == 7) for no in sizes[k]]
-    assert joined == [f"{i:06d}" for i in range(300)]
-    assert sizes[(9, 0)] == []
+         for i in range(30_000)] + [(8, "1", "a", "AE-2024-034", 1.0, "PCE", None, None)],
+        order_tables[1].schema).repartition(7)
+    made = messages.generate_messages(heads, lines, catalog, AS_OF)
+    text = {r["order_id"]: r["edi_text"] for r in made.collect()}[7]
+    numbers = [x.split("+")[1] for x in text.split("\n") if x.startswith("LIN")]
+    assert numbers == [str(i + 1) for i in range(30_000)]
+    said = [x for x in text.split("\n") if x.startswith("IMD")]
+    assert said == [f"IMD+F++:::text {i}'" for i in range(30_000)]
+    pieces = messages.message_segments(made).where("order_id = 7").orderBy("position").collect()
+    assert [r["segment"] for r in pieces] == text.rstrip("\n").split("\n")
+    assert messages.shared_references(made).count() == 0
+    nested = {r["id"]: r for r in orders.orders_with_lines(
+        heads.drop("delivery_date_default"), lines).collect()}
+    assert [x["line_no"] for x in nested[7]["lines"]] == [f"{i:06d}" for i in range(30_000)]
+    assert nested[9]["lines"] == [] and nested[7]["line_count"] == 30_000
+
+
+@pytest.mark.parametrize("quantity", [1e25, float("inf"), float("nan")])
+def test_impossible_quantities_block_the_order_and_not_the_job(spark, order_tables, quantity):
+    heads, _, catalog = order_tables
+    lines = spark.createDataFrame(
+        [(7, "1", "a", "AE-2024-034", quantity, "PCE", None, None),
+         (8, "1", "a", "AE-2024-034", 1.0, "PCE", None, None)], order_tables[1].schema)
+    made = messages.generate_messages(heads, lines, catalog, AS_OF).collect()
+    assert [r["order_id"] for r in made] == [8]
+    _, blocked, blocking = orders.order_gate(heads, lines)
+    assert (7, "bad_quantity") in {(r["id"], r["reason"]) for r in blocked.collect()}
+    assert [tuple(r) for r in blocking.collect()] == [(7, "1")]
 
 
 def test_interchange_round_trip(spark, order_tables):
@@ -212,6 +224,17 @@ def test_interchange_round_trip(spark, order_tables):
     assert rows[("7", 1)]["pia_code"] == "OLD-1"
 
 
+def test_a_file_of_several_interchanges(spark, order_tables):
+    good = MESSAGE.replace("OLD-1", "EDI-034").replace("QTY+21:0:", "QTY+21:1:")
+    files = spark.createDataFrame([("f", good + good.replace("UNOA:2", "UNOB:2") + good)], "file string, text string")
+    catalog = spark.createDataFrame([("EDI-034", "A")], "internal_code string, status string")
+    segments = interchange.edi_scan(files)
+    _, verdicts = interchange.edi_validate(segments, catalog, date(2026, 6, 10))
+    assert sorted((r["interchange_no"], r["message_no"], r["rules"]) for r in verdicts.collect()) == [
+        (1, 1, []), (2, 1, ["R1"]), (3, 1, [])]
+    assert interchange.edi_lines(segments).count() == 6
+
+
 def test_interchange_rules(spark):
     good = MESSAGE.replace("OLD-1", "EDI-034").replace("QTY+21:0:", "QTY+21:1:")
     changes = {
@@ -235,15 +258,15 @@ def test_interchange_rules(spark):
 
 
 def test_export_writes_once(spark, order_tables, tmp_path):
-    log = sinks.export_orders(*order_tables, str(tmp_path), AS_OF)
+    log = sinks.export_orders(*order_tables, str(tmp_path), AS_OF, per_order_files=True)
     rows = log.collect()
     assert {r["order_id"] for r in rows} == {7, 12345678901}
-    again = sinks.export_orders(*order_tables, str(tmp_path / "b"), AS_OF)
+    again = sinks.export_orders(*order_tables, str(tmp_path / "b"), AS_OF, per_order_files=True)
     assert {r["blob_path"] for r in again.collect()} == {r["blob_path"] for r in rows}
     name = next(r["blob_path"] for r in rows if r["order_id"] == 7).split("/")[1][:-4]
     written = list(tmp_path.glob(f"edifact/*/message={name}/*.txt"))
     assert [p.read_text() for p in written] == [MESSAGE]
-    sinks.export_orders(*order_tables, str(tmp_path / "f"), AS_OF, per_order_files=False)
+    sinks.export_orders(*order_tables, str(tmp_path / "f"), AS_OF)
     bulk = "".join(p.read_text() for p in sorted(tmp_path.glob("f/edifact/*/*.txt")))
     assert bulk.count("UNB+") == 2 and MESSAGE in bulk
     rest = sinks.export_orders(*order_tables, str(tmp_path / "c"), AS_OF,

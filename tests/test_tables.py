@@ -1,5 +1,6 @@
 """Tables, documents, customers, usage, findings and their streams."""
 
+from decimal import Decimal
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -47,7 +48,7 @@ def test_pages(people):
     assert [r["id"] for r in last.collect()] == [2]
     assert tables.next_offset(last, 2, 2) is None
     with pytest.raises(ValueError):
-        tables.query_table(people, limit=501)
+        tables.query_table(people, limit=501, max_page=500)
     with pytest.raises(ValueError):
         tables.query_table(people, order_by="id:sideways")
 
@@ -248,3 +249,42 @@ def test_findings_end_to_end(spark, tmp_path):
             for r in by_category.collect()] == [("A01:2021", 1, 0, 1), ("A03:2021", 2, 1, 1)]
     assert [(r["cwe"], r["finding_count"]) for r in by_rank.collect()] == [
         ("CWE-787", 0), ("CWE-79", 2)]
+
+
+def test_documents_first_delete_find_and_exclude(spark):
+    docs = spark.createDataFrame(
+        [("a", '{"k": 1, "password": "p", "n": {"x": null}}'), ("b", '{"k": 1}'), ("c", '{"k": 2}'), ("d", None)],
+        "_id string, t string").select("_id", F.try_parse_json("t").alias("doc"))
+    text = lambda df: {r["_id"]: r["t"] for r in df.select("_id", F.to_json("doc").alias("t")).collect()}
+    done, new = tables.update_document_first(docs, {"k": 1}, {"k": "5", "s": '{"a": [1]}'})
+    assert text(new) == {"a": '{"k":5,"n":{"x":null},"password":"p","s":{"a":[1]}}'}
+    assert text(done) == {**text(new), "b": '{"k":1}', "c": '{"k":2}', "d": None}
+    assert text(tables.update_document_first(docs, {"k": 9}, {"k": "5"})[1]) == {}
+    kept, count = tables.delete_documents(docs, {"k": 1})
+    assert set(text(kept)) == {"c", "d"} and count.first()["deleted"] == 2
+    assert text(tables.find_document(docs, {"k": {"$gte": 1}})) == {"a": text(docs)["a"]}
+    with pytest.raises(Exception, match="no document matches"):
+        tables.find_document(docs, {"k": 7}).collect()
+    page = tables.query_documents(docs, {}, {"password": 0})
+    assert text(page)["a"] == '{"k":1,"n":{"x":null}}' and text(page)["d"] is None
+
+
+def test_document_filters_reach_the_scan(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("doc", F.try_parse_json("props"))
+    found = events.where(tables.document_filter(events, {"event_type": {"$in": ["click"]}, "k": {"$gte": 3}}))
+    assert "PushedFilters: [In(event_type" in found._jdf.queryExecution().toString() or \
+        "EqualTo(event_type,click)" in found._jdf.queryExecution().toString()
+
+
+def test_decimals_compare_exactly(spark):
+    df = spark.createDataFrame([(Decimal("0.10"),), (Decimal("0.30"),)], "d decimal(20,2)")
+    assert tables.query_table(df, {"d": "eq:0.3"}).count() == 1
+    assert tables.query_table(df, {"d": "lt:0.3"}, limit=900).count() == 1
+    with pytest.raises(ValueError):
+        tables.query_table(df, limit=900, max_page=500)
+
+
+def test_entries_without_path_are_apart(spark):
+    rows = [(1, None, 5, 1.0, START), (2, "", 7, 1.0, START)]
+    got = {r["id"]: r for r in usage.usage_trailing(spark.createDataFrame(rows, USAGE)).collect()}
+    assert (got[1]["path_daily_tokens"], got[2]["path_daily_tokens"], got[1]["all_daily_tokens"]) == (5, 7, 12)
