@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,27 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
+_stored: list[str] = []
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` has made inside, once the results are written.
+
+    A result must not be read after that. Outside of it the tables stay as long as the
+    folder they lie in.
+    """
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _stored[before:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _stored[before:]
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several branches of a job read, and read it back.
 
@@ -47,5 +70,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     their joins with the table's real size.
     """
     path = shared_dir(df.sparkSession, purpose)
+    _stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

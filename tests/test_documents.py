@@ -1,6 +1,7 @@
 """Extraction, messages, interchange, sources and streaming on small fixtures."""
 
 import json
+import os
 from datetime import date, datetime
 
 import pytest
@@ -357,7 +358,10 @@ def test_intake_counts_each_file_once(spark, tmp_path):
                      ).awaitTermination()
         return spark.read.parquet(str(tmp_path / "out" / "lines"))
 
+    work = spark.conf.get("spark.checkpoint.dir", None)
+    before = set(os.listdir(work)) if work else set()
     first = go()
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
     assert first.count() == 5
     tiers = {r["match_tier"] for r in first.collect()}
     assert tiers == {"exact", "dimension", "none"}
