@@ -16,7 +16,7 @@ from orderweave import fixed_values as fv
 from orderweave.operators.joins import with_constant
 
 FIELDS = {
-    "report": "string", "pos": "bigint", "source": "string", "rule_id": "string",
+    "report": "string", "pos": "array<bigint>", "source": "string", "rule_id": "string",
     "message": "string", "severity": "string", "confidence": "string", "file": "string",
     "line_start": "bigint", "line_end": "bigint", "package": "string", "version": "string",
     "fix_versions": "array<string>", "commit": "string", "verified": "boolean",
@@ -27,8 +27,11 @@ _NO_TEXTS = "array<string>"
 
 
 def read_texts(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
-    rows = spark.read.text(path, wholetext=not by_line)
-    return rows.select(F.col("_metadata.file_path").alias("report"), F.col("value").alias("text"))
+    """``report, text`` of whole files, or of lines with the ``block`` of the file they lie in."""
+    rows = spark.read.text(path, wholetext=not by_line).select(
+        F.col("_metadata.file_path").alias("report"), F.col("value").alias("text"),
+        F.col("_metadata.file_block_start").alias("block"))
+    return rows if by_line else rows.drop("block")
 
 
 def read_mapping(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -86,7 +89,14 @@ def _items(reports: DataFrame, path: str, first: str | None = None) -> DataFrame
     array = F.try_variant_get("doc", path, "array<variant>")
     if first:
         array = F.coalesce(F.try_variant_get("doc", first, "array<variant>"), array)
-    return parsed.select("report", F.posexplode(array).alias("pos", "v"))
+    return parsed.select("report", F.posexplode(array).alias("at", "v")).select(
+        "report", "v", F.array(F.col("at").cast("bigint")).alias("pos"))
+
+
+def _place(json: Column, key: Column, otherwise: Column) -> Column:
+    """Place of a key in a JSON object as it is written; variants order their keys by name."""
+    found = F.array_position(F.json_object_keys(json), key)
+    return F.coalesce(F.nullif(found, F.lit(0)), otherwise + 1).cast("bigint")
 
 
 def _findings(rows: DataFrame, source, **columns) -> DataFrame:
@@ -164,14 +174,16 @@ def read_pip_audit(reports: DataFrame) -> DataFrame:
 
 
 def read_pnpm_audit(reports: DataFrame, source: str) -> DataFrame:
-    packages = reports.select("report", F.posexplode(F.try_variant_get(
+    packages = reports.select("report", "text", F.posexplode(F.try_variant_get(
         F.try_parse_json("text"), "$.vulnerabilities", "map<string,variant>"))
         .alias("at", "package", "pkg"))
+    packages = packages.withColumn("at", _place(
+        F.get_json_object("text", "$.vulnerabilities"), F.col("package"), F.col("at")))
     rows = packages.select("report", "at", "package", "pkg", F.posexplode(
         F.try_variant_get("pkg", "$.via", "array<variant>")).alias("nth", "v"))
     v, pkg = F.col("v"), F.col("pkg")
     rows = rows.where(F.schema_of_variant(v).startswith("OBJECT")).withColumn(
-        "pos", F.col("at").cast("bigint") * 1_000_000 + F.col("nth"))
+        "pos", F.array("at", F.col("nth").cast("bigint")))
     return _findings(
         rows, source, rule_id=_get(v, "$.source", "string", "unknown"),
         message=F.concat(F.col("package"), F.lit(": "),
@@ -184,13 +196,16 @@ def read_pnpm_audit(reports: DataFrame, source: str) -> DataFrame:
 
 
 def read_njsscan(reports: DataFrame, source: str) -> DataFrame:
-    groups = reports.select("report", F.posexplode(F.try_variant_get(
+    groups = reports.select("report", "text", F.posexplode(F.try_variant_get(
         F.try_parse_json("text"), "$", "map<string,variant>")).alias("g", "_group", "rules"))
-    rules = groups.select("report", "g", F.posexplode(F.try_variant_get(
+    inner = F.call_function("get_json_object", F.col("text"), F.concat(F.lit("$['"), "_group", F.lit("']")))
+    groups = groups.withColumns({"g": _place(F.col("text"), F.col("_group"), F.col("g")), "inner": inner})
+    rules = groups.select("report", "g", "inner", F.posexplode(F.try_variant_get(
         "rules", "$", "map<string,variant>")).alias("r", "rule_id", "rule"))
+    rules = rules.withColumn("r", _place(F.col("inner"), F.col("rule_id"), F.col("r")))
     rows = rules.select("report", "g", "r", "rule_id", "rule", F.posexplode(
         F.try_variant_get("rule", "$.files", "array<variant>")).alias("f", "v")).withColumn(
-        "pos", (F.col("g").cast("bigint") * 1_000_000 + F.col("r")) * 1_000_000 + F.col("f"))
+        "pos", F.array("g", "r", F.col("f").cast("bigint")))
     v, rule = F.col("v"), F.col("rule")
     told, match = _get(rule, "$.metadata.description", "string", ""), _get(
         v, "$.match_string", "string", "")
@@ -213,8 +228,9 @@ def read_njsscan(reports: DataFrame, source: str) -> DataFrame:
 def read_trufflehog(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("v", F.try_parse_json("text")).where(F.col("v").isNotNull())
     if "pos" not in rows.columns:
-        # Lines of one file keep their order within a scan partition.
-        rows = rows.withColumn("pos", F.monotonically_increasing_id())
+        # Blocks of a file in order, and in a block the lines as they are scanned.
+        block = [F.col("block")] if "block" in rows.columns else []
+        rows = rows.withColumn("pos", F.array(*block, F.monotonically_increasing_id()))
     v = F.col("v")
 
     def either(name: str, as_type: str, default) -> Column:
@@ -245,10 +261,10 @@ def read_trufflehog(lines: DataFrame) -> DataFrame:
 
 def read_trivy(reports: DataFrame) -> DataFrame:
     targets = _items(reports, "$.Results").select(
-        "report", F.col("pos").alias("at"), F.col("v").alias("result"))
+        "report", F.get("pos", F.lit(0)).alias("at"), F.col("v").alias("result"))
     rows = targets.select("report", "at", "result", F.posexplode(F.try_variant_get(
         "result", "$.Vulnerabilities", "array<variant>")).alias("nth", "v")).withColumn(
-        "pos", F.col("at").cast("bigint") * 1_000_000 + F.col("nth"))
+        "pos", F.array("at", F.col("nth").cast("bigint")))
     v = F.col("v")
     package, version = _get(v, "$.PkgName", "string", "unknown"), _get(
         v, "$.InstalledVersion", "string", "unknown")

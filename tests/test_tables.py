@@ -288,3 +288,12 @@ def test_entries_without_path_are_apart(spark):
     rows = [(1, None, 5, 1.0, START), (2, "", 7, 1.0, START)]
     got = {r["id"]: r for r in usage.usage_trailing(spark.createDataFrame(rows, USAGE)).collect()}
     assert (got[1]["path_daily_tokens"], got[2]["path_daily_tokens"], got[1]["all_daily_tokens"]) == (5, 7, 12)
+
+
+def test_findings_keep_their_order_of_arrival(spark):
+    pnpm = '{"vulnerabilities": {"z": {"via": [{"source": 1}, {"source": 2}]}, "a": {"via": [{"source": 3}]}}}'
+    rows = reports.read_pnpm_audit(spark.createDataFrame([("r", pnpm)], "report string, text string"), "s")
+    assert [r["rule_id"] for r in rows.orderBy("pos").collect()] == ["1", "2", "3"]
+    njs = '{"y": {"q": {"files": [{}, {}]}, "b": {"files": [{}]}}, "c": {"x": {"files": [{}]}}}'
+    rows = reports.read_njsscan(spark.createDataFrame([("r", njs)], "report string, text string"), "s")
+    assert [r["rule_id"] for r in rows.orderBy("pos").collect()] == ["q", "q", "b", "x"]
