@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderweave.llm.groups import groups
-from orderweave.llm.words import Words, mixed, range_hashes, steps, words_of
+from orderweave.llm.words import STEP_BYTES, Words, mixed, range_hashes, steps, words_of
 
 DEPTH, ANCHOR, PREFIXES = 13, 6, (4, 8)
 #: Documents per bucket, on average; as many groups of suffixes as buckets.
@@ -191,7 +191,7 @@ def _unpacked(t: pa.Table) -> Iterator[tuple[np.ndarray, list[int | None], pa.Ar
             ids.append(doc_id)
             texts.append(None if blob is None else unpack.decompress(blob))
             size += len(texts[-1] or b"")
-            if size > 1 << 21:
+            if size > STEP_BYTES:
                 yield np.arange(row, row + len(ids)), ids, pa.array(texts, pa.large_binary())
                 row, ids, texts, size = row + len(ids), [], [], 0
         if ids:

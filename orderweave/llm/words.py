@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
@@ -122,7 +123,8 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text",
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = text_bytes(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())).fill_null(0)
+        at = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
         row = 0
         while row < batch.num_rows:
             end = int(np.searchsorted(at, at[row] + step_bytes, side="right")) - 1
