@@ -9,9 +9,9 @@ No piece spans the place between a character and a following blank, or between a
 following sign of some kinds. There a text falls into parts, and a long part (in a script without blanks) again at all places that no piece spans.
 The n best of the whole combine the n best of its parts, which is exact because scores add.
 Only the n - 1 parts whose second best costs least can differ from their best. That cost comes
-from a Viterbi pass in each direction: a second best path has an edge outside the best one. So
-each distinct part takes two passes, and the search runs on the few parts that matter. Tasks
-remember the parts they have met, up to a fixed number.
+from a Viterbi pass that keeps two scores. So each distinct part takes one pass, many of them at
+once, and the search runs on the few parts that matter. Tasks remember the parts they have met,
+up to a fixed number.
 
 Ties: of equal segmentations of a part the one whose piece ids, read from the end, come
 first; of equal combinations the one that departs from the best at earlier parts.
@@ -35,13 +35,15 @@ from orderweave.llm.words import steps
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Segmentations per text; parts that a task remembers.
-N_BEST, REMEMBERED = 3, 300_000
+N_BEST, REMEMBERED = 3, 150_000
 #: Scores as whole numbers of this part, so that sums are exact.
 UNIT = 1_000_000
 #: Parts longer than this are split where no piece spans.
 SPLIT = 64
 #: Beyond this length the last met of equal hypotheses of a part is followed first.
 LONG = 2_000
+#: Bytes of text whose new parts are looked at together.
+STEP_BYTES = 1 << 21
 NEVER = 1 << 62
 
 #: Stands for the blank sign itself where a text holds it, so that it becomes bytes and not a blank.
@@ -72,8 +74,10 @@ class Vocabulary:
         if any(c == BLANK and a != BLANK for a, c in follows):
             self.part = r"(?s).+"
         elif signs:
-            run = f"[{signs}]+[^{BLANK}{signs}]*"
-            self.part = rf"(?s)(?=.){BLANK}*[{signs}]*[^{BLANK}{signs}]*(?:(?<![^\W_]){run})*"
+            # Line breaks and the like that stand in no piece are parts of their own.
+            alone = "".join(re.escape(c) for c in map(chr, range(32)) if not any(c in p for p in pieces))
+            run = f"[{signs}]+[^{BLANK}{signs}{alone}]*"
+            self.part = rf"[{alone}]|(?=[^{alone}]){BLANK}*[{signs}]*[^{BLANK}{signs}{alone}]*(?:(?<![^\W_]){run})*"
         else:
             self.part = f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"
 
@@ -108,10 +112,14 @@ class Vocabulary:
                 node = node[0].get(text[j])
                 j += 1
             if not single:
-                data = (BLANK if c == _SIGN else c).encode()
-                out.append((i, i + 1, tuple([self.byte_ids[b] for b in data]), self.byte_score * len(data)))
+                add((i, i + 1, *self.bytes_of(c)))
         return out
 
+    def bytes_of(self, c: str) -> tuple[tuple[int, ...], int]:
+        """A character as the ids of its bytes, and their score."""
+        data = (BLANK if c == _SIGN else c).encode()
+        return tuple([self.byte_ids[b] for b in data]), self.byte_score * len(data)
+
 
 def reversed_ids(ids: int | tuple[int, ...]) -> tuple[int, ...]:
     return (ids,) if isinstance(ids, int) else ids[::-1]
@@ -131,40 +139,144 @@ def viterbi(edges: list, end: int) -> tuple[list[int], list]:
     return best, back
 
 
-def path_of(back: list, end: int) -> list:
-    out = []
-    while end:
-        edge = back[end]
-        out.append(edge)
-        end = edge[0]
-    return out[::-1]
-
-
-def flat(path: list) -> tuple[int, ...]:
+def flat(ids: list[int | tuple[int, ...]]) -> tuple[int, ...]:
     out: list[int] = []
-    for edge in path:
-        if isinstance(edge[2], int):
-            out.append(edge[2])
+    for x in ids:
+        if isinstance(x, int):
+            out.append(x)
         else:
-            out += edge[2]
+            out += x
     return tuple(out)
 
 
-def best_and_cost(edges: list, end: int) -> tuple[tuple[int, ...], int, int]:
-    """The best segmentation, its score, and what the second best costs more (NEVER: there is none)."""
-    best, back = viterbi(edges, end)
-    path = path_of(back, end)
-    rest, second = [-NEVER] * (end + 1), -NEVER
-    rest[end] = 0
-    for edge in reversed(edges):
-        i, j, _, s = edge
-        s += rest[j]
-        if s > rest[i]:
-            rest[i] = s
-        s += best[i]
-        if s > second and edge not in path:
-            second = s
-    return flat(path), best[end], NEVER if second == -NEVER else best[end] - second
+def best_and_cost(v: Vocabulary, text: str) -> tuple[tuple[int, ...], int, int]:
+    """The best segmentation, its score, and what the second best costs more (NEVER: there is none).
+
+    One Viterbi pass that keeps the two best scores of each position and the last piece of the best.
+    """
+    end, root = len(text), v.root
+    best, second = [-NEVER] * (end + 1), [-NEVER] * (end + 1)
+    last: list = [None] * (end + 1)
+    start = [0] * (end + 1)
+    best[0] = 0
+    for i, c in enumerate(text):
+        one, two = best[i], second[i]
+        node, j = root.get(c), i + 1
+        if node is None or node[1] is None:
+            data = v.bytes_of(c)
+            score = one + data[1]
+            if score > best[j]:
+                second[j] = max(best[j], two + data[1])
+                best[j], last[j], start[j] = score, data[0], i
+            else:
+                second[j] = max(second[j], score)
+                if score == best[j] and data[0][::-1] < reversed_ids(last[j]):
+                    last[j], start[j] = data[0], i
+        while node is not None:
+            found = node[1]
+            if found is not None:
+                piece, weight = found
+                score = one + weight
+                most = best[j]
+                if score > most:
+                    weight += two
+                    second[j] = most if most > weight else weight
+                    best[j] = score
+                    last[j] = piece
+                    start[j] = i
+                elif score >= second[j]:
+                    second[j] = score
+                    if score == most and (piece,) < reversed_ids(last[j]):
+                        last[j] = piece
+                        start[j] = i
+            if j == end:
+                break
+            node = node[0].get(text[j])
+            j += 1
+    ids, at = [], end
+    while at:
+        ids.append(last[at])
+        at = start[at]
+    # A second score below -NEVER / 2 comes from no path.
+    return flat(ids[::-1]), best[end], NEVER if second[end] < -NEVER // 2 else best[end] - second[end]
+
+
+class Passes:
+    """The Viterbi pass of best_and_cost() for many parts at once, in arrays.
+
+    Parts of equal length go together. The pieces that begin at a place are found by hashes of its
+    character runs in sorted tables by length.
+    """
+
+    BASE, LIMIT = np.uint64(0x9E3779B97F4A7C15), 32
+
+    def __init__(self, v: Vocabulary) -> None:
+        by_length: dict[int, list[str]] = {}
+        for p in v.pieces:
+            by_length.setdefault(len(p), []).append(p)
+        self.tables = []
+        for length in range(1, min(max(by_length, default=0), self.LIMIT) + 1):
+            texts = by_length.get(length, [])
+            keys = self.runs(self.codes(texts, length), length)[:, 0] if texts else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            found = np.array([v.pieces[p] for p in texts], np.int64).reshape(-1, 2)[order]
+            self.tables.append((keys[order], found[:, 0], found[:, 1]))
+
+    @staticmethod
+    def codes(texts: list[str], length: int) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(-1, length).astype(np.uint64) + np.uint64(1)
+
+    def runs(self, codes: np.ndarray, length: int, before: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the runs of a length at each place; ``before``: those of one character less."""
+        if before is None:
+            before, done = np.zeros_like(codes), 0
+        else:
+            done = length - 1
+        for k in range(done, length):
+            before = before[:, : codes.shape[1] - k] + codes[:, k:] * self.BASE ** np.uint64(k + 1)
+        return before
+
+    def __call__(self, texts: list[str], length: int) -> list[tuple[tuple[int, ...], int, int] | None]:
+        """As best_and_cost(); None for a part with a character that is no piece."""
+        n, codes, edges, runs = len(texts), self.codes(texts, length), [], None
+        for k in range(1, min(length, len(self.tables)) + 1):
+            runs = self.runs(codes, k, runs)
+            keys, ids, weights = self.tables[k - 1]
+            if not len(keys):
+                edges.append(None)
+                continue
+            at = np.minimum(np.searchsorted(keys, runs.T), len(keys) - 1)
+            hit = keys[at] == runs.T
+            edges.append((hit.any(axis=1).tolist(), np.where(hit, weights[at], -NEVER // 2), ids[at]))
+        if not edges or edges[0] is None:
+            return [None] * n
+        whole = (edges[0][1] > -NEVER // 2).all(axis=0)
+        best, second = np.zeros((length + 1, n), np.int64), np.full((length + 1, n), -NEVER // 2)
+        last, step = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        for j in range(1, length + 1):
+            top, two = np.full(n, -NEVER // 2), np.full(n, -NEVER // 2)
+            for k in range(1, min(j, len(edges)) + 1):
+                i = j - k
+                if edges[k - 1] is None or not edges[k - 1][0][i]:
+                    continue
+                weight, piece = edges[k - 1][1][i], edges[k - 1][2][i]
+                score = np.maximum(best[i] + weight, -NEVER // 2)
+                better = score > top
+                take = better | ((score == top) & (score > -NEVER // 2) & (piece < last[j]))
+                two = np.where(better, np.maximum(top, second[i] + weight), np.maximum(two, score))
+                top = np.maximum(top, score)
+                last[j] = np.where(take, piece, last[j])
+                step[j] = np.where(take, k, step[j])
+            best[j], second[j] = top, np.maximum(two, -NEVER // 2)
+        cost = np.where(second[length] > -NEVER // 4, best[length] - second[length], NEVER)
+        rows, at, taken = np.arange(n), np.full(n, length), []
+        while at.any():
+            taken.append(np.where(at > 0, last[at, rows], -1))
+            at = np.maximum(at - np.where(at > 0, np.maximum(step[at, rows], 1), 0), 0)
+        paths = np.stack(taken[::-1], axis=1)
+        sizes = (paths >= 0).sum(axis=1).tolist()
+        return [(tuple(p[len(p) - size:]), score, c) if ok else None for p, size, score, c, ok in zip(
+            paths.tolist(), sizes, best[length].tolist(), cost.tolist(), whole.tolist(), strict=True)]
 
 
 def n_best(edges: list, end: int, n: int) -> list[Option]:
@@ -208,7 +320,7 @@ def n_best(edges: list, end: int, n: int) -> list[Option]:
         while mine:
             taken.append(mine[0])
             mine = mine[1]
-        out.append((score + e[3], flat(taken)))
+        out.append((score + e[3], flat([x[2] for x in taken])))
     return out
 
 
@@ -241,6 +353,7 @@ class Encoder:
         self.known: dict[str, tuple[tuple[int, ...], int, int]] = {}
         self.options: dict[str, list[Option]] = {}
         self.cut = re.compile(vocabulary.part)
+        self.passes = Passes(vocabulary)
 
     def parts(self, text: str) -> list[str]:
         chunks = self.cut.findall(BLANK + text.replace(BLANK, _SIGN).replace(" ", BLANK))
@@ -262,15 +375,31 @@ class Encoder:
 
     def __call__(self, text: str) -> tuple[int, list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
         """score, ids; and further segmentations: score, changes (at, pieces left out, pieces put in)."""
-        if not text:
-            return 0, [], []
-        parts, known = self.parts(text), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list:
+        """Each text as by a call; parts that are new are looked at together."""
+        parts = [self.parts(t) if t else [] for t in texts]
+        every = set().union(*parts)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
             self.options.clear()
-        for p in set(parts).difference(known):
-            known[p] = best_and_cost(self.v.edges(p), len(p))
-        found = [known[p] for p in parts]
+            new = every
+        by_length: dict[int, list[str]] = {}
+        for p in new:
+            by_length.setdefault(len(p), []).append(p)
+        for length, group in by_length.items():
+            found = self.passes(group, length) if length <= Passes.LIMIT else [None] * len(group)
+            for p, one in zip(group, found, strict=True):
+                self.known[p] = one or best_and_cost(self.v, p)
+        return [self.whole(p) for p in parts]
+
+    def whole(self, parts: list[str]) -> tuple[int, list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """The n best of a text from its known parts."""
+        if not parts:
+            return 0, [], []
+        found = [self.known[p] for p in parts]
         ids = list(chain.from_iterable([f[0] for f in found]))
         total = sum([f[1] for f in found])
         cost = np.array([f[2] for f in found], np.int64)
@@ -321,9 +450,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *keep: str, n: int = N_BEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, n)
-        for part in steps(batches):
+        for part in steps(batches, step_bytes=STEP_BYTES):
             texts = [t or "" for t in part.column(len(keep)).to_pylist()]
-            found = [encoder(t) for t in texts]
+            found = encoder.many(texts)
             at = np.cumsum([0, *[len(f[1]) for f in found]])
             ids = pa.ListArray.from_arrays(
                 pa.array(at, pa.int32()), pa.array(np.fromiter(chain.from_iterable([f[1] for f in found]), np.int32, int(at[-1]))))
