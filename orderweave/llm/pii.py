@@ -34,6 +34,14 @@ SPELLED = {
     "8": "eight acht huit ocho", "9": "nine neun neuf nueve"}
 #: At least so many digits and spelled digits in a row count as a number.
 MIN_SPELLED = 3
+#: Words for the at sign and the dot in the languages of the corpus. ``at`` and ``chez`` also stand in prose,
+#: and so do the nouns among the dots: behind those the last label has to be a known end of a host.
+AT_WORDS, PROSE_AT = ("at", "ät", "arroba", "arobase", "arobas", "klammeraffe", "chez"), ("at", "ät", "chez", "@")
+DOT_WORDS, DOT_NOUNS = ("dot", "punkt", "point", "punto"), ("punkt", "point", "punto")
+GENERIC = frozenset("com org net edu gov mil int info biz name pro app dev io eu example test".split())
+ENDS = GENERIC | frozenset("de fr es ch at be lu li it pt nl dk pl cz ca uk us mx ar cl co pe".split())
+#: ``at this point it`` and ``point de`` are prose.
+POINT_ENDS = GENERIC | frozenset("fr ch lu ca uk".split())
 #: Characters of a disguised name before, and of a disguised host after, its at sign; the longest
 #: address has 64 and 255, and a spoken dot takes five or so.
 LEFT, RIGHT = 64 * 4, 255 * 4
@@ -45,12 +53,24 @@ _WORD = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
 _GAP = r"[\x20\t,.·-]{1,3}"
 _RUN = re.compile(rf"(?<![^\W_])(?:{_WORD}|[0-9])(?:{_GAP}(?:{_WORD}|[0-9])(?![^\W_])){{{MIN_SPELLED - 1},}}+", re.I)
 _PIECE = re.compile(rf"{_WORD}|[0-9]|{_GAP}", re.I)
-_MARK = re.compile(r"[\[({<][\x20\t]{0,3}(?:(at|@|arroba|chez)|(dot|\.|punkt|point|punto))[\x20\t]{0,3}[\])}>]", re.I)
+#: Digits and spelled digits in any mixture; commas part numbers here.
+_MIXED = re.compile(
+    rf"(?<![^\W_])(?:{_WORD}(?![^\W_])|[0-9]++)(?:[\x20\t().·-]{{1,3}}(?:{_WORD}|[0-9]++)(?![^\W_]))++", re.I)
+_PART = re.compile(rf"{_WORD}|[0-9]++", re.I)
+_PLUS_BEFORE = re.compile(r"(?:\+|(?<![^\W_])plus[\x20\t]{1,3})\Z", re.I)
+_MARK = re.compile(
+    rf"[\[({{<][\x20\t]{{0,3}}(?:({'|'.join(AT_WORDS)}|@)|({'|'.join(DOT_WORDS)}|\.))[\x20\t]{{0,3}}[\])}}>]", re.I)
 _PLUS = re.compile(r"plus[\x20\t]{1,3}(?=[0-9])", re.I)
-_AT = re.compile(r"\bat\b|@", re.I)
-_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\x20{1,3}dot\x20{1,3}|\x20\.\x20|\.)[A-Za-z0-9-]++)++", re.I)
-_EMAN = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\x20{1,3}tod\x20{1,3}|\.)[A-Za-z0-9_%+-]++)*+", re.I)  # backwards
-_SPOKEN_DOT = re.compile(r"\x20{1,3}dot\x20{1,3}|\x20\.\x20", re.I)
+_AT = re.compile(rf"\b(?:{'|'.join(AT_WORDS)})\b|@", re.I)
+_DOTS = rf"\x20{{1,3}}(?:{'|'.join(DOT_WORDS)})\x20{{1,3}}"
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_DOTS}|\x20\.\x20|\.)[A-Za-z0-9-]++)++", re.I)
+_SEPARATOR = re.compile(rf"{_DOTS}|\x20\.\x20|\.", re.I)
+# Backwards; beside a plain at sign only ``dot`` is no prose.
+_EMAN, _EMAN_PLAIN = (re.compile(
+    rf"[A-Za-z0-9_%+-]++(?:(?:\x20{{1,3}}(?:{'|'.join(w[::-1] for w in words)})\x20{{1,3}}|\.)[A-Za-z0-9_%+-]++)*+", re.I)
+    for words in (DOT_WORDS, DOT_WORDS[:1]))
+_SPOKEN_DOT = re.compile(rf"{_DOTS}|\x20\.\x20", re.I)
+_SPEAKS = re.compile(rf"@|\x20(?:{'|'.join((*AT_WORDS, 'dot'))})\x20")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
@@ -171,6 +191,50 @@ def _digits(text: str) -> Iterator[tuple[int, int, str]]:
                     yield m.start() + p.start(), m.start() + p.end(), new
 
 
+def _has_mixed(text: str) -> bool:
+    """Whether a number and a spelled digit stand side by side."""
+    if not re.search("[0-9]", text):
+        return False
+    tokens = _TOKEN.findall(text.lower())
+    return any(w in _DIGIT_OF and any(t[0] in "0123456789" for t in (*tokens[i - 1: i], *tokens[i + 1: i + 2]))
+               for i, w in enumerate(tokens))
+
+
+def _mixed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spelled digits as digits in a run that so has the digits of a phone or card.
+
+    Spelled digits at the ends of a run are left out where it is a number without them.
+    """
+    for m in _MIXED.finditer(text):
+        parts = [(p.start() + m.start(), p.end() + m.start(), _DIGIT_OF.get(p[0].lower())) for p in _PART.finditer(m[0])]
+        numbers = [i for i, p in enumerate(parts) if p[2] is None]
+        if not numbers or len(numbers) == len(parts):
+            continue
+        digits = [d or text[s:e] for s, e, d in parts]
+        low, high = numbers[0], numbers[-1] + 1
+        if sum(map(len, digits[low:high])) > 19:
+            continue
+        called = _PLUS_BEFORE.search(text, max(0, m.start() - 9), m.start()) is not None
+
+        def fits(i: int, j: int) -> bool:
+            number = "".join(digits[i:j])  # noqa: B023
+            return (called and i == 0 and 10 <= len(number) <= 15) or (14 <= len(number) <= 19 and luhn(number))  # noqa: B023
+
+        ways = [(low, high), *((i, j) for i in range(max(0, low - 19), low + 1) for j in range(min(len(parts), high + 19), high - 1, -1))]
+        i, j = next((w for w in ways if fits(*w)), (0, 0))
+        if all(d is None for _, _, d in parts[i:j]):
+            continue
+        for k in range(i, j):
+            s, e, d = parts[k]
+            if d:
+                yield s, e, d
+            if k + 1 < j and (gap := text[e:parts[k + 1][0]]) not in (" ", "-"):
+                # What a phone may hold stays; a card takes one blank.
+                new = re.sub("[\t·]+", " ", gap) if called and i == 0 else " "
+                if new != gap:
+                    yield e, parts[k + 1][0], new
+
+
 def _plus(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _PLUS.finditer(text):
         if m.start() == 0 or not text[m.start() - 1].isalnum():
@@ -190,8 +254,32 @@ def _marks(text: str) -> Iterator[tuple[int, int, str]]:
         done = end
 
 
+def _host_end(text: str, host: re.Match, word: str) -> tuple[int, list[tuple[int, int]]]:
+    """Where the host ends, and its spoken dots; the labels behind the last dot that is no prose do not count."""
+    cuts = [(host.start() + d.start(), host.start() + d.end()) for d in _SEPARATOR.finditer(host[0])]
+    ends = [*[s for s, _ in cuts[1:]], host.end()]
+    while cuts:
+        start, end = cuts[-1]
+        dot, label = text[start:end].strip().lower(), text[end:ends[-1]]
+        letters = len(label) > 1 and label.isalpha()
+        if dot in DOT_NOUNS:
+            known = label.lower() in (POINT_ENDS if dot == "point" else ENDS)
+            good = letters and (known or word not in PROSE_AT or (word == "at" and dot != "point"))
+        elif dot == "." and end - start == 1 and word != "@" and all(e - s == 1 for s, e in cuts):
+            # A word before a host that is written out.
+            good = letters and (word not in PROSE_AT or (label in (label.lower(), label.upper()) and (
+                len(label) == 2 or label.lower() in GENERIC)))
+        else:
+            good = True
+        if good:
+            break
+        cuts.pop()
+        ends.pop()
+    return (ends[-1] if cuts else host.start()), [(s, e) for s, e in cuts if e - s > 1]
+
+
 def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
-    """``name at host dot tld``: an address only where a dot is spoken or blanks stand around the at sign."""
+    """``name at host dot tld``: an address only where a dot or the at sign is spoken, or blanks stand around the sign."""
     done = 0
     for m in _AT.finditer(text):
         start, end = m.span()
@@ -203,24 +291,29 @@ def _spoken(text: str) -> Iterator[tuple[int, int, str]]:
             start -= 1
         blanks = start < m.start() or end > m.end()
         host = _HOST.match(text, end, end + RIGHT) if (m[0] == "@" or (start < m.start() and end > m.end())) else None
-        name = _EMAN.match(text[max(done, start - LEFT):start][::-1]) if host else None
+        left = _EMAN_PLAIN if m[0] == "@" and not blanks else _EMAN
+        name = left.match(text[max(done, start - LEFT):start][::-1]) if host else None
         if not name:
             continue
-        dots = [(host.start() + d.start(), host.start() + d.end()) for d in _SPOKEN_DOT.finditer(host[0])]
-        if not dots and (m[0] != "@" or not blanks):
-            continue
+        stop, dots = _host_end(text, host, m[0].lower())
+        plain = _DOMAIN.match(text, start) if m[0] == "@" and not blanks else None
+        if plain and text[plain.end(): plain.end() + 3] == " . ":  # a sentence ends behind the address
+            stop, dots = plain.end(), []
         first = start - name.end()
-        for d in _SPOKEN_DOT.finditer(text, first, start):
-            yield d.start(), d.end(), "."
+        before = [d.span() for d in _SPOKEN_DOT.finditer(text, first, start)]
+        if stop == host.start() or not (dots or blanks or (plain and before)):
+            continue
+        for d in before:
+            yield *d, "."
         if text[start:end] != "@":
             yield start, end, "@"
         for d in dots:
             yield *d, "."
-        done = host.end()
+        done = stop
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and these with the disguised ones that overlap none of their kind."""
+    """Base spans, and these with the disguised ones that overlap none of their kind, or hold all that they overlap."""
     base = plain_spans(text)
     chain: list[Rewritten] = []
     now = text
@@ -235,6 +328,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
 
     if not text.isascii():
         rewrite(_glyphs)
+    if _has_mixed(now):
+        rewrite(_mixed)
     if _has_spelled(now):
         rewrite(_digits)
     lower = now.lower()
@@ -242,7 +337,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         rewrite(_plus)
     if "[" in lower or "(" in lower or "{" in lower or "<" in lower:
         rewrite(_marks)
-    if "@" in now or " dot " in lower:
+    if _SPEAKS.search(now.lower()):
         rewrite(_spoken)
     if not chain:
         return base, base
@@ -251,9 +346,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     for start, kind, end in plain_spans(now):
         for r in reversed(chain):
             start, end = r.back(start, end)
-        # Base spans of a kind are ordered and apart: only the last that begins before the end counts.
+        # Base spans of a kind are ordered and apart: those from the first that ends behind the start.
         at = bisect_left(taken[kind], (end,))
-        if not at or taken[kind][at - 1][1] <= start:
+        overlapped = []
+        while at and taken[kind][at - 1][1] > start:
+            at -= 1
+            overlapped.append(taken[kind][at])
+        if all(start <= s and e <= end for s, e in overlapped) and (start, end) not in overlapped:
             spans.append((start, kind, end))
     return base, sorted(spans)
 

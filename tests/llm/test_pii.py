@@ -86,3 +86,41 @@ def test_query_rows(spark, awkward, docs_of):
     assert clean.columns == docs.columns
     assert [r.text for r in clean.orderBy("doc_id").collect()] == ["é [EMAIL] [IP] [EMAIL]", None]
     assert pii.redact(awkward.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("escribe a juan arroba ejemplo punto com ya", "email", "juan arroba ejemplo punto com"),
+    ("mail name at host punkt de bitte", "email", "name at host punkt de"),
+    ("à marie arobase exemple point fr merci", "email", "marie arobase exemple point fr"),
+    ("to name at host.com now", "email", "name at host.com"),
+    ("see john [at] example punto com", "email", "john [at] example punto com"),
+    ("call +49 151 two 345 6789 now", "phone", "+49 151 two 345 6789"),
+    ("card 4539 one 488 0343 6467 ok", "card", "4539 one 488 0343 6467"),
+    ("card 4539 1488 0343 646 seven ok", "card", "4539 1488 0343 646 seven"),
+])
+def test_disguised_in_all_languages_and_in_part(text, kind, found):
+    base, spans = pii.all_spans(text)
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in spans] == [(kind, found)]
+    assert base == []
+
+
+def test_a_disguise_around_a_base_span_goes_whole():
+    text = "ask john dot doe@mail.example dot com now"
+    base, spans = pii.all_spans(text)
+    assert [text[s:e] for s, _, e in base] == ["doe@mail.example"] and base[0] in spans
+    assert pii.redacted(text, spans) == "ask [EMAIL] now"
+
+
+@pytest.mark.parametrize("text", [
+    "arrived at this point it was", "look at some point in time", "chez lui point de doute", "meet at 10.30 or at home.Then",
+    "the six of 2024 and one 3", "a@b.co . The next", "at this point a@b.com wrote", "call +49 151 2345 6789 one of us"])
+def test_prose_is_not_taken_for_a_disguise(text):
+    base, spans = pii.all_spans(text)
+    assert spans == base
+
+
+@pytest.mark.parametrize("unit", ["one 1 ", "1 one 22 ", "x at y.z ", "a@b.c dot ", "+1 two ", "a arroba b punto "])
+def test_time_is_linear_with_more_words(unit):
+    start = time.time()
+    pii.all_spans(unit * (200_000 // len(unit)))
+    assert time.time() - start < 10
