@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderweave.llm.words import steps
+from orderweave.session import stored
 
 SAMPLE_CHARS = 3_000_000
 WORDS, GRAMS, LONGEST = 50_000, 20_000, 5
@@ -48,9 +49,13 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Scores of words (order 0) and n-grams (order n) by language, in alphabetical order."""
+    """Scores of words (order 0) and n-grams (order n) by language, in alphabetical order.
 
-    def __init__(self, counts: dict[tuple[str, int], dict[str, int]], words: int = WORDS, grams: int = GRAMS) -> None:
+    totals: the sums of all counts by language and order, where ``counts`` lacks rare ones.
+    """
+
+    def __init__(self, counts: dict[tuple[str, int], dict[str, int]], words: int = WORDS, grams: int = GRAMS,
+                 totals: dict[tuple[str, int], int] | None = None) -> None:
         self.langs = sorted({lang for lang, _ in counts})
         self.index: list[dict[str, int]] = []
         self.scores: list[np.ndarray] = []
@@ -60,7 +65,7 @@ class Model:
             index = {g: i for i, g in enumerate(sorted(set().union(*kept)))} if kept else {}
             scores = np.full((len(index), len(self.langs)), PENALTY)
             for column, (c, names) in enumerate(zip(per_lang, kept, strict=True)):
-                total = sum(c.values())
+                total = (totals or {}).get((self.langs[column], order)) or sum(c.values())
                 for g in names:
                     scores[index[g], column] = math.log10(c[g] / total)
             self.index.append(index)
@@ -150,12 +155,20 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
                      pa.array([c[g] for g in part], pa.int64())], names=["lang", "order", "gram", "n"])
 
     counted = drawn.select("text", "lang").mapInArrow(run, "lang string, `order` int, gram string, n long")
-    # What stands in the sample once says little, and the sample bounds the rest.
-    counted = counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = stored(counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "langid-counts")
+    # The least count among the most frequent; all of a language and order that has no more than are kept.
+    each = Window.partitionBy("lang", "order")
+    least = counted.groupBy("lang", "order", "n").agg(F.count("*").alias("grams")).select(
+        "lang", "order", "n", F.sum(F.col("n") * F.col("grams")).over(each).alias("total"),
+        (F.sum("grams").over(each.orderBy(F.desc("n"))) - F.col("grams")).alias("before"))
+    least = least.where(F.col("before") < F.when(F.col("order") == 0, WORDS).otherwise(GRAMS))
+    least = least.groupBy("lang", "order").agg(F.min("n").alias("least"), F.max("total").alias("total"))
+    totals = {(r["lang"], r["order"]): r["total"] for r in least.collect()}
+    counted = counted.join(least, ["lang", "order"]).where("n >= least").select("lang", "order", "gram", "n")
     counts: dict[tuple[str, int], dict[str, int]] = {(lang, 0): {} for lang in share}
     for lang, order, gram, n in zip(*[c.to_pylist() for c in counted.toArrow().columns], strict=True):
         counts.setdefault((lang, order), {})[gram] = n
-    return Model(counts)
+    return Model(counts, WORDS, GRAMS, totals)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Held-out accuracy, and the scores against a plain version."""
 
 import math
+from collections import Counter
 
 import pytest
 
@@ -66,3 +67,26 @@ def test_sample_is_bounded(spark):
     small, whole = langid.fit(docs, 50_000), langid.fit(docs)
     assert small.langs == whole.langs == ["de", "en", "es", "fr"]
     assert len(small.index[0]) < len(whole.index[0]) / 4
+
+
+def test_a_language_with_one_short_text_keeps_its_words(spark, docs_of):
+    own = "mi havas unu grandan hundon kaj du katojn"
+    docs = docs_of(["one big dog and two cats have a house"] * 20, [(100, own, "eo", "s", 1, None, None, None, None)])
+    model = langid.fit(docs)
+    assert set(own.split()) <= set(model.index[0])
+    assert langid.Predictor(model)(own)[0] == "eo"
+
+
+@pytest.mark.parametrize(("words", "grams"), [(300, 200), (50_000, 20_000)])
+def test_the_most_frequent_are_kept(spark, monkeypatch, words, grams):
+    monkeypatch.setattr(langid, "WORDS", words)
+    monkeypatch.setattr(langid, "GRAMS", grams)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null")
+    counts = {}
+    for row in docs.select("text", "lang").collect():
+        for word in langid.words_in(row.text):
+            for order in range(langid.LONGEST + 1):
+                counts.setdefault((row.lang, order), Counter()).update(langid.grams_of(word, order) if order else [word])
+    got, want = langid.fit(docs), langid.Model(counts, words, grams)
+    assert got.index == want.index
+    assert all((a == b).all() for a, b in zip(got.scores, want.scores, strict=True))
