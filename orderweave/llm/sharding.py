@@ -73,13 +73,17 @@ class Marks:
         self.inner = np.array([max(row.n - 1, 0)], np.int64)
 
     def refine(self, gaps: np.ndarray) -> None:
-        """Fetch running sums inside these gaps, evenly spread, ``marks`` at most."""
+        """Fetch running sums inside these gaps: the least and the largest of each of evenly spread parts.
+
+        At most about ``marks`` sums come. Each call learns a sum of every gap that holds an
+        unknown one, and what stays unknown lies in parts of at most half the gap's width.
+        """
         gaps = gaps[self.inner[gaps] > 0]
         if not len(gaps):
             return
         starts = np.concatenate([[0], self.ends[:-1]])
         lo, hi = starts[gaps], self.ends[gaps]
-        parts = max(2, self.marks // len(gaps))
+        parts = max(2, self.marks // (2 * len(gaps)))
         picked = np.stack([lo, hi], 1)
 
         @F.pandas_udf("long")
@@ -93,11 +97,13 @@ class Marks:
             return pd.Series(np.where((end > low) & (end <= high), at * parts + part, -1))
 
         found = self.sums.select(part_of("end_bytes").alias("part"), "end_bytes").where("part >= 0").groupBy("part").agg(
-            F.max("end_bytes").alias("end"), F.count("*").alias("n")).toPandas()
+            F.min("end_bytes").alias("least"), F.max("end_bytes").alias("end"), F.count("*").alias("n")).toPandas()
+        least, end, n = (found[c].to_numpy(np.int64) for c in ("least", "end", "n"))
         keep = np.ones(len(self.ends), bool)
         keep[gaps] = False
-        ends = np.concatenate([self.ends[keep], found["end"].to_numpy(np.int64)])
-        inner = np.concatenate([self.inner[keep], found["n"].to_numpy(np.int64) - 1])
+        ends = np.concatenate([self.ends[keep], least[n > 1], end])
+        # Nothing lies before the least sum of a part; between it and the largest lie all but the two.
+        inner = np.concatenate([self.inner[keep], np.zeros(int((n > 1).sum()), np.int64), np.maximum(n - 2, 0)])
         order = np.argsort(ends)
         self.ends, self.inner = ends[order], inner[order]
 
@@ -164,11 +170,11 @@ class Marks:
         return capacity, cuts
 
 
-def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, marks: int = MARKS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, per row of docs.
 
-    docs: doc_id, text; other columns are not touched. Equal texts go to the same shard; null
-    texts are one group, of size OVERHEAD each. Order: smallest doc_id of the group, null first,
+    docs: doc_id, text; other columns are not touched. marks: running sums that the driver asks
+    for at once. Equal texts go to the same shard; null texts are one group, of size OVERHEAD each. Order: smallest doc_id of the group, null first,
     then a hash of the text. Slots of a shard count from 0 without gaps. Rows that repeat are rows like
     others. With fewer groups than shards some shards stay empty. An empty table gives an empty
     result.
@@ -181,7 +187,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     grouped = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"),
                                       F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("first"))
     sums = _sums(grouped)
-    _, cuts = Marks(sums).cuts(shards)
+    _, cuts = Marks(sums, marks).cuts(shards)
     number = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("end_bytes"))) if cuts else F.lit(0)
     placed = stored(sums.withColumn("shard", number), "sharding-placed")
     first = placed.groupBy("shard").agg(F.min("start_rows").alias("shard_start"))

@@ -1,6 +1,7 @@
 """Minimax shards against an exhaustive search."""
 
 import collections
+import itertools
 import random
 import zlib
 
@@ -33,7 +34,7 @@ def test_capacity_is_the_smallest(spark, marks, monkeypatch):
     rng = random.Random(5)
     texts = ["w" * rng.choice([1, 5, 40, 300, 2000]) + str(rng.randrange(260)) for _ in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = sharding.shard(docs, 7).collect()
+    rows = sharding.shard(docs, 7, marks).collect()
     assert len(rows) == 400
     held, slots, where = collections.Counter(), collections.defaultdict(list), {}
     for r in rows:
@@ -67,6 +68,28 @@ def test_exact_with_few_marks(spark):
         assert len(marks.ends) < 2500
 
 
+def sums_of(sizes):
+    return list(itertools.accumulate(sizes))
+
+
+def test_search_ends_and_cuts_fit_with_few_marks(spark):
+    rng = random.Random(21)
+    for case, (shards, marks) in enumerate([(2, 4), (5, 8), (3, 40), (9, 6)]):
+        sizes = [rng.choice([17, 18, 90, 4000, 10 ** 6]) for _ in range(rng.choice([9, 60, 300]))]
+        sums = spark.createDataFrame([(e,) for e in sums_of(sizes)], "end_bytes long").coalesce(1).cache()
+        found = sharding.Marks(sums, marks)
+        capacity, cuts = found.cuts(shards)
+        assert capacity == least_capacity(sizes, shards), case
+        edges = [0, *cuts, sum(sizes)]
+        assert edges == sorted(edges) and max(b - a for a, b in zip(edges, edges[1:])) <= capacity
+        assert set(cuts) <= {0, *sums_of(sizes)}
+
+
+def test_a_large_text_before_small_ones(spark, docs_of):
+    rows = sharding.shard(docs_of(["x" * 1_000_000, "y", "z"]), 2).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == {0: (0, 0), 1: (1, 0), 2: (1, 1)}
+
+
 def test_awkward_rows(spark, awkward):
     rows = sharding.shard(awkward, 3).collect()
     assert len(rows) == awkward.count()
