@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm import langid, mixing, neardup, pieces, pii, quality, sharding, substrings, topk, urlfilter
+from orderweave.llm import codes, langid, mixing, neardup, pieces, pii, quality, sharding, substrings, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_maxscore_topk": op2_maxscore_topk,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_nbest_pieces": op9_nbest_pieces,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op11_vector_codes": op11_vector_codes,
 }
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
@@ -76,4 +81,5 @@ ORACLE: dict[str, str] = {
     "op5_substring_dedup": substrings.ORACLE,
     "op8_minhash_near_dedup": neardup.ORACLE,
     "op10_poisson_mixing": mixing.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
 }
