@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderweave.llm import codes, langid, mixing, neardup, pieces, pii, quality, resample, sharding, substrings, topk, urlfilter
+from orderweave.llm import (
+    codes,
+    langid,
+    metricjoin,
+    mixing,
+    neardup,
+    pieces,
+    pii,
+    quality,
+    resample,
+    sharding,
+    substrings,
+    topk,
+    urlfilter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +75,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.jaccard_join(table(spark, sf_dir, "documents"), k=5)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_features", "weight", "score", "rank")
@@ -78,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nbest_pieces": op9_nbest_pieces,
     "op10_poisson_mixing": op10_poisson_mixing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE: dict[str, str] = {
@@ -88,5 +107,6 @@ ORACLE: dict[str, str] = {
     "op8_minhash_near_dedup": neardup.ORACLE,
     "op10_poisson_mixing": mixing.ORACLE,
     "op11_vector_codes": codes.ORACLE,
+    "op12_ngram_jaccard_join": metricjoin.ORACLE,
     "op13_importance_resampling": resample.ORACLE,
 }
