@@ -6,7 +6,7 @@ first regions are therefore made where distances below 1 can be at all:
 
 1. *Classes.* Documents with equal sets of shingles are one class from here on.
 2. *Regions of shared shingles.* Of the shingles in hash order each class keeps a prefix of half its set,
-   counts over all classes say which of them are shared, and by how many. Of its prefix a class leaves
+   counts over all documents say which of them are shared, and by how many. Of its prefix a class leaves
    out as many of the most frequent ones as it can and still share one with each partner (see
    ``prefix_of``). The classes that keep a shingle form a region, and the smallest of them is its pivot;
    regions with the same pivot are one. Two classes within ``t`` share a region.
@@ -16,10 +16,11 @@ first regions are therefore made where distances below 1 can be at all:
 4. *Recursion.* Any other region gets pivots of its own. Each member goes to the Voronoi region of its
    nearest pivot, at distance ``d``, and also to every pivot within ``d + 2 t``: if x is nearest to p,
    and y within ``t`` of x is nearest to q, then d(x, q) <= t + d(y, q) <= t + d(y, p) <= 2 t + d(x, p),
-   so x is in the window of q. Large regions are divided so over tasks, and again, until they
-   fit into one; there the division goes on in memory, to groups that are compared one by one. Where
-   the pivots are equally far from nearly all members windows hold nearly all; such a region is
-   compared directly, a large one in cells of two blocks each.
+   so x is in the window of q. Large regions are divided so over tasks, and again, until few members
+   are left that are not in their largest component; there the division goes on in memory, to groups
+   that are compared one by one. Where a pivot's window holds nearly all members, as among near copies
+   of one text, division does not help. Such a region is compared directly, a large one in cells of two
+   blocks, one of which holds members outside its largest component.
 
 No task holds more than a region of ``REGION`` members or a cell of two blocks, nothing is dropped, and
 only links between different components leave a task.
@@ -43,8 +44,8 @@ from orderweave.llm.words import mixed, steps, words_of
 from orderweave.session import stored
 
 PERCENT = 80
-#: Classes in a bucket, on average; shingles that a task holds before it packs them.
-BUCKET, HELD = 2000, 2_000_000
+#: Shingles of the documents in a bucket, on average; shingles that a task holds before it packs them.
+BUCKET, HELD = 1_000_000, 2_000_000
 #: Members that one task takes as a region; members of a block where two blocks are a cell.
 REGION, BLOCK = 1024, 1024
 #: Pivots of a division over tasks, and in memory; a group of so few members is compared one by one.
@@ -111,8 +112,8 @@ def _packed_rows(order_by: np.ndarray, columns: list[np.ndarray]) -> Iterator[tu
             yield int(by[s]), [c[s:e] for c in columns]
 
 
-def _dealt(classes: DataFrame, deals: int) -> DataFrame:
-    """deal, bucket, keys, counts (packed): a task's shingles of a bucket, each once with its number of classes."""
+def _dealt(prefixes: DataFrame, deals: int) -> DataFrame:
+    """deal, bucket, keys, counts (packed): a task's shingles of a bucket, each once with its number of documents."""
 
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, bucket = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -143,11 +144,11 @@ def _dealt(classes: DataFrame, deals: int) -> DataFrame:
         if n:
             yield from send(held)
 
-    return classes.select("bucket", "prefix").mapInArrow(run, "deal long, bucket long, keys binary, counts binary")
+    return prefixes.select("bucket", "prefix").mapInArrow(run, "deal long, bucket long, keys binary, counts binary")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """bucket, kind 0, rep null, n null, blob, counts: shingles of a bucket that several classes have, with their number."""
+    """bucket, kind 0, rep null, n null, blob, counts: shingles of a bucket that several documents have, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
@@ -158,7 +159,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
             order = np.lexsort((bucket, key))
             key, n, bucket = key[order], n[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key))))
+            total = np.minimum(np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key)))), (1 << 32) - 1).astype(np.uint32)
             # A bucket's own tasks may have sent a shingle more than once.
             keep = (total > 1) & np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
             rows = list(_packed_rows(bucket[keep], [key[keep], total[keep]]))
@@ -173,23 +174,30 @@ def _shared(dealt: DataFrame) -> DataFrame:
 
 
 def _kept(together: DataFrame, percent: int) -> DataFrame:
-    """key, rep, n: the shared shingles that each class keeps."""
+    """key, rep, n: the shared shingles that each class keeps.
+
+    Of a bucket come the shared shingles (kind 0), the documents that stand for classes (1), and all documents (2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
-            kind = t.column(1).to_numpy()
-            known = int(np.count_nonzero(kind == 0))
-            if not known or known == t.num_rows:
+            kind, every = t.column(1).to_numpy(), t.column(4).to_pylist()
+            known, start = int(np.count_nonzero(kind == 0)), int(np.count_nonzero(kind < 2))
+            if not known or start in (known, t.num_rows):
                 continue
-            blobs = t.column(4).to_pylist()
-            key = np.frombuffer(b"".join(blobs[:known]), np.uint64)
-            number = np.frombuffer(b"".join(t.column(5).slice(0, known).to_pylist()), np.int64)
+            key = np.frombuffer(b"".join(every[:known]), np.uint64)
+            number = np.frombuffer(b"".join(t.column(5).slice(0, known).to_pylist()), np.uint32).astype(np.int64)
             order = np.argsort(key, kind="stable")
             key, number = key[order], number[order]
-            rep, n = (t.column(c).slice(known).to_numpy() for c in (2, 3))
+            rep, n = (t.column(c).slice(start).to_numpy() for c in (2, 3))
+            # Each class once: the row of the document that stands for it, which may be repeated.
+            rep, row_of = np.unique(rep, return_index=True)
+            mine = np.isin(rep, t.column(2).slice(known, start - known).to_numpy())
+            rep, row_of = rep[mine], row_of[mine]
+            n, blobs = n[row_of], [every[start + i] for i in row_of.tolist()]
             _, spare = prefix_of(n, percent)
             for row in range(0, len(rep), 256):
-                some = blobs[known + row: known + row + 256]
+                some = blobs[row: row + 256]
                 own = np.frombuffer(b"".join(some), np.uint64)
                 of = np.repeat(np.arange(row, row + len(some)), [len(x) // 8 for x in some])
                 at = np.searchsorted(key, own)
@@ -269,7 +277,13 @@ def join_region(sets: list[np.ndarray], comp: np.ndarray, percent: int, block: n
                     if part.any():
                         join(members[part])
                 return
-        for i in range(len(members)):
+        if block is None:
+            # Pairs inside the largest component are linked already.
+            names, count = np.unique(comp[members], return_counts=True)
+            first = np.flatnonzero(comp[members] != names[np.argmax(count)])
+        else:
+            first = np.flatnonzero(block[members] == block[members].min())
+        for i in first.tolist():
             other = comp[members] != comp[members[i]]
             if block is not None:
                 other &= block[members] != block[members[i]]
@@ -319,20 +333,34 @@ def star(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
 
 def open_regions(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their component, of regions that are not one component yet; and those regions' sizes."""
-    rows = members.select("region", "parent_n", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
-        "region", "parent_n", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = rows.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("region_n"),
-                                       F.max("parent_n").alias("parent_n")).where("lo < hi").select("region", "region_n", "parent_n")
-    return rows.drop("parent_n"), sizes
+    """Members with their component, and the regions that are not one component yet.
+
+    Of a region: region_n members, of which minor_n are not in its largest component, ``major``. Only pairs
+    with one of those are of interest.
+    """
+    rows = members.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "region", "rep", F.coalesce("component", "rep").alias("comp"))
+    counted = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("region").agg(F.sum("n").alias("region_n"), F.max(F.struct("n", "comp")).alias("most")).select(
+        "region", "region_n", F.col("most.comp").alias("major"), (F.col("region_n") - F.col("most.n")).alias("minor_n"))
+    return rows, sizes.where("minor_n > 0")
 
 
 def joined_regions(rows: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links inside regions of at most REGION members, one task each; more of them in cells of two blocks."""
-    sized = sizes.select("region", F.when(F.col("region_n") <= REGION, 1).otherwise(F.ceil(F.col("region_n") / BLOCK)).cast("int").alias("blocks"))
+    """a, b: links inside regions of at most REGION members, one task each; larger ones in cells of two blocks.
+
+    Of a large region each block of minor members meets all blocks.
+    """
+    small = F.col("region_n") <= REGION
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = sizes.select("region", "major", F.when(small, 1).otherwise(blocks(F.col("minor_n"))).alias("minors"),
+                         F.when(small, 0).otherwise(blocks(F.col("region_n") - F.col("minor_n"))).alias("majors"))
     rows = rows.join(sized, "region").join(texts, F.col("rep") == F.col("doc_id"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    is_major = (F.col("comp") == F.col("major")) & (F.col("majors") > 0)
+    rows = rows.withColumn("block", F.when(is_major, F.col("minors") + F.pmod(F.xxhash64("rep"), F.greatest("majors", F.lit(1)))).otherwise(
+        F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(is_major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    rows = rows.withColumn("other", F.explode(meets))
     cells = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "packed")
     cells = cells.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "rep")
 
@@ -392,25 +420,30 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def linked_components(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component of the links in all regions."""
     labels = stored(components(star(members, texts, k, percent), "metricjoin-star"), "metricjoin-labels")
-    members = members.select("region", F.lit(None).cast("long").alias("parent_n"), "rep")
+    members = members.select("region", "rep")
     while True:
         rows, sizes = open_regions(members, labels)
         sizes = stored(sizes, "metricjoin-open")
         rows = stored(rows.join(sizes.select("region"), "region", "left_semi"), "metricjoin-rows")
-        # Small regions, and those that their last division left nearly as large as before, are joined.
-        divide = (F.col("region_n") > REGION) & F.coalesce(F.col("region_n") <= STUCK * F.col("parent_n"), F.lit(True))
-        links = joined_regions(rows, sizes.where(~divide), texts, k, percent)
+        divide = F.col("minor_n") > BLOCK
+        joined = joined_regions(rows, sizes.where(~divide), texts, k, percent)
         large = sizes.where(divide)
-        last = large.isEmpty()
-        if not last:
-            parts = stored(divided(rows, large, texts, k, percent), "metricjoin-parts")
-            links = links.union(parts.where("linked and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-            members = parts.select(F.xxhash64("region", "pivot").alias("region"), F.col("region_n").alias("parent_n"), "rep")
-        links = stored(links, "metricjoin-links")
-        if not links.isEmpty():
-            labels = stored(merged(labels, links), "metricjoin-labels")
-        if last:
-            return labels
+        if large.isEmpty():
+            links = stored(joined, "metricjoin-links")
+            return labels if links.isEmpty() else merged(labels, links)
+        parts = stored(divided(rows, large, texts, k, percent), "metricjoin-parts")
+        to_pivots = parts.where("linked and pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        # A window with nearly all members: the pivots do not divide this region, it is joined as it is.
+        stuck = parts.groupBy("region", "pivot").agg(F.count("*").alias("n"), F.first("region_n").alias("region_n")).where(
+            F.col("n") > STUCK * F.col("region_n")).select("region").distinct()
+        stuck = stored(stuck, "metricjoin-stuck")
+        links = stored(joined.union(to_pivots), "metricjoin-links")
+        labels = stored(merged(labels, links), "metricjoin-labels") if not links.isEmpty() else labels
+        again, sizes = open_regions(rows.join(stuck, "region").select("region", "rep"), labels)
+        whole = stored(joined_regions(again, sizes, texts, k, percent), "metricjoin-whole")
+        labels = stored(merged(labels, whole), "metricjoin-labels") if not whole.isEmpty() else labels
+        members = parts.join(stuck, "region", "left_anti").select(
+            F.xxhash64("region", "pivot").alias("region"), "rep")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -436,18 +469,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFra
         lost = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
         return found.select("doc_id", "n_shingles", "component_id").union(lost)
     sets = stored(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "metricjoin-classes")
-    buckets = max(1, -(-sets.count() // BUCKET))
-    reps = some.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    classes = stored(reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long").alias("bucket"), F.lit(1).alias("kind"),
-                                 F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.col("prefix").alias("blob"),
-                                 F.lit(None).cast("binary").alias("counts")), "metricjoin-prefixes")
-    shared = _shared(_dealt(classes.select("bucket", F.col("blob").alias("prefix")), buckets))
-    together = shared.union(classes).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    total = some.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("long").alias("bucket")
+    none = lambda t: F.lit(None).cast(t)
+    prefixes = some.select(bucket("doc_id"), F.lit(2).alias("kind"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"),
+                           F.col("prefix").alias("blob"), none("binary").alias("counts"))
+    reps = sets.select(bucket("rep"), F.lit(1), "rep", none("long"), none("binary"), none("binary"))
+    shared = _shared(_dealt(prefixes.select("bucket", F.col("blob").alias("prefix")), buckets))
+    together = shared.union(reps).union(prefixes).repartition("bucket").sortWithinPartitions("bucket", "kind")
     kept = stored(_kept(together, percent), "metricjoin-kept")
     pivots = kept.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select(
         "key", F.col("pivot.rep").alias("region"), F.col("pivot.n").alias("pivot_n"))
     members = stored(kept.join(pivots, "key").select("region", "pivot_n", "rep", "n").distinct(), "metricjoin-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "metricjoin-wanted")
     texts = stored(packed_texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "metricjoin-texts")
     labels = linked_components(members, texts, k, percent)
     named = sets.join(labels, F.col("rep") == F.col("node"), "left").select(
