@@ -8,23 +8,19 @@ dimensions and ``status``; aliases map ``(customer_code, customer_part_code)`` t
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderweave import fixed_values as fv
-from orderweave.functions.similarity import score_batches
 from orderweave.functions.specs import canonical_alloy, dimensions
 from orderweave.functions.text import norm_code, strip, tokens
 from orderweave.operators.joins import left_lookup, with_defaults
+from orderweave.operators.names import best_targets
 from orderweave.session import stored
 
 # A wall bucket is twice the tolerance wide: walls within tolerance of each other
 # lie in the same or in neighbouring buckets.
 _WALL_BUCKET_MM = 2 * fv.DIMENSION_TOLERANCE_MM
-DICTIONARY_ROWS = 20_000
-SPECS_PER_TASK = 2_000
 
 
 def active_catalog(catalog: DataFrame) -> DataFrame:
@@ -181,51 +177,13 @@ def _contained_targets(specs: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _scored(specs: DataFrame, targets: DataFrame, threshold: float,
-            dictionary_rows: int) -> DataFrame:
-    """Best target of the specs no set operation settles.
-
-    The distinct targets travel to the tasks as one dictionary when a check proves
-    there are few; a larger set goes in hash slices of that size, one pass each.
-    """
-    wanted = targets.select("code", "target", "target_alloy")
-    schema = "description string, canon string, code string, score double"
-
-    count = specs.count()
-    if count == 0:
-        return specs.sparkSession.createDataFrame([], schema)
-    # Few bytes but much work per row: the number of tasks follows the rows.
-    cores = specs.sparkSession.sparkContext.defaultParallelism
-    tasks = min(-(-count // SPECS_PER_TASK), 4 * cores)
-    specs = specs.repartition(tasks)
-
-    def one_pass(rows) -> DataFrame:
-        run = partial(score_batches, targets=[tuple(r) for r in rows],
-                      bonus=fv.ALLOY_BONUS, accept=threshold)
-        return specs.select("description", "canon").mapInPandas(run, schema)
-
-    rows = wanted.limit(dictionary_rows + 1).collect()
-    if len(rows) <= dictionary_rows:
-        return one_pass(rows)
-    slices = 2 * (wanted.count() // dictionary_rows + 1)
-    sliced = wanted.withColumn("_slice", F.pmod(F.xxhash64("target"), F.lit(slices)))
-    passes = None
-    for s in range(slices):
-        part = one_pass(sliced.where(F.col("_slice") == s).drop("_slice").collect())
-        passes = part if passes is None else passes.unionByName(part)
-    best = F.struct(-F.col("score"), F.col("code"))
-    return passes.groupBy("description", "canon").agg(
-        F.min_by("code", best).alias("code"), F.max("score").alias("score"))
-
-
-def _specs_by_name(specs: DataFrame, catalog: DataFrame, threshold: float,
-                   dictionary_rows: int) -> DataFrame:
+def _specs_by_name(specs: DataFrame, catalog: DataFrame, threshold: float) -> DataFrame:
     targets = stored(fuzzy_targets(catalog), "targets")
     specs = specs.where(F.col("description") != "")
     contained = stored(_contained_targets(specs, targets), "contained")
     # Containment needs a known alloy, so plain equality is enough here.
     rest = specs.join(contained, ["description", "canon"], "left_anti")
-    return contained.unionByName(_scored(rest, targets, threshold, dictionary_rows))
+    return contained.unionByName(best_targets(rest, targets, threshold, fv.ALLOY_BONUS))
 
 
 def _specs(lines: DataFrame) -> DataFrame:
@@ -260,11 +218,11 @@ def match_dimension(lines: DataFrame, catalog: DataFrame) -> DataFrame:
         *lines.columns, "dimension_code")
 
 
-def match_fuzzy(lines: DataFrame, catalog: DataFrame, threshold: float = fv.FUZZY_THRESHOLD,
-                dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
+def match_fuzzy(lines: DataFrame, catalog: DataFrame,
+                threshold: float = fv.FUZZY_THRESHOLD) -> DataFrame:
     """Adds ``fuzzy_code`` and ``fuzzy_score``: the most similar profile name."""
     prepared = _with_canon(lines)
-    found = _specs_by_name(_specs(prepared), catalog, threshold, dictionary_rows).select(
+    found = _specs_by_name(_specs(prepared), catalog, threshold).select(
         "description", "canon", F.col("code").alias("fuzzy_code"),
         F.col("score").alias("fuzzy_score"))
     return _join_specs(prepared, found, _line_keys(lines)).select(
@@ -289,8 +247,7 @@ def cross_check_codes(lines: DataFrame, catalog: DataFrame,
 
 
 def resolve_lines(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, *,
-                  fuzzy: bool = True, threshold: float = fv.FUZZY_THRESHOLD,
-                  dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
+                  fuzzy: bool = True, threshold: float = fv.FUZZY_THRESHOLD) -> DataFrame:
     """One row per line with ``resolved_internal_code, match_tier, code_check``.
 
     The code tiers are two lookups on the lines. The spec tiers run once per
@@ -313,7 +270,7 @@ def resolve_lines(lines: DataFrame, catalog: DataFrame, aliases: DataFrame, *,
         rest = specs.join(
             by_size, (specs["description"] == by_size["description"])
             & specs["canon"].eqNullSafe(by_size["canon"]), "left_anti")
-        by_name = _specs_by_name(rest, catalog, threshold, dictionary_rows)
+        by_name = _specs_by_name(rest, catalog, threshold)
         found = by_size.unionByName(
             by_name.drop("score").withColumn("tier", F.lit("fuzzy")))
     found = found.select(F.col("description").alias("_text"), "canon",

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderweave.functions.similarity import token_set_score
-from orderweave.operators import flags, resolution
+from orderweave.operators import flags, names, resolution
+from orderweave.operators.names import best_targets
 
 CATALOG = [
     ("AE-2024-036", "Equal Angle 40x40x3", "EN AW-6060", 40.0, 40.0, 3.0, "A"),
@@ -109,9 +110,9 @@ def brute_force(description, alloy, catalog):
     return best_code if best >= fv.FUZZY_THRESHOLD else None
 
 
-@pytest.mark.parametrize("dictionary_rows", [20_000, 7])
-def test_fuzzy_equals_brute_force(spark, dictionary_rows):
-    rng = random.Random(7)
+@pytest.mark.parametrize("seed", [7, 8])
+def test_fuzzy_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
     words = "Angle Equal Tube Round Slot Profile Heat Sink Beam Flat Bar Corner U T".split()
     alloys = ["EN AW-6060", "EN AW-6063", None]
     items = []
@@ -131,14 +132,57 @@ def test_fuzzy_equals_brute_force(spark, dictionary_rows):
         texts.append((said.strip(), alloy if rng.random() < 0.7 else None))
     lines = spark.createDataFrame(
         [(1, f"{i:03d}", "x", True, None, t, a) for i, (t, a) in enumerate(texts)], LINES)
-    got = resolution.match_fuzzy(lines, spark.createDataFrame(items, SCHEMA),
-                                 dictionary_rows=dictionary_rows)
+    got = resolution.match_fuzzy(lines, spark.createDataFrame(items, SCHEMA))
     found = {r["line_no"]: r["fuzzy_code"] for r in got.collect()}
     wanted = {f"{i:03d}": brute_force(t, a, items) for i, (t, a) in enumerate(texts)}
     assert found == wanted
     assert len(set(found.values())) > 10
 
 
+@pytest.mark.parametrize("accept", [86.0, 70.0, 99.0])
+def test_the_join_finds_every_best_target(spark, accept):
+    """Short words, single letters, repeated pairs of letters, very long texts: as scoring all pairs."""
+    rng = random.Random(accept)
+
+    def name(most):
+        return " ".join("".join(rng.choices("aabcde1é", k=rng.choice([1, 1, 2, 3, 8]))) for _ in range(rng.randint(1, most)))
+
+    targets = [(name(5), rng.choice(["X", "Y", None]), f"C{i:03d}") for i in range(70)]
+    texts = {(name(6), rng.choice(["X", "Z", None])) for _ in range(150)} | {("ab " * 400, "X"), (" \t ", "Y")}
+    for target, alloy, _ in targets[:40]:
+        at = rng.randrange(len(target))
+        texts.add((target[:at] + rng.choice(["", "e", " "]) + target[at + 1:], alloy))
+    want = {}
+    for text, alloy in texts:
+        best = min(((-(token_set_score(frozenset(text.split()), frozenset(target.split())) + 5.0 * bool(alloy and alloy == own)), code)
+                    for target, own, code in targets))
+        if -best[0] >= accept:
+            want[text, alloy] = (best[1], -best[0])
+    found = best_targets(spark.createDataFrame(sorted(texts, key=str), "description string, canon string"),
+                         spark.createDataFrame(targets, "target string, target_alloy string, code string"), accept, 5.0)
+    assert {(r.description, r.canon): (r.code, r.score) for r in found.collect()} == want
+    assert len(want) > 20
+
+
+def test_candidates_are_far_fewer_than_pairs(spark):
+    """At the upper level keys join about the pairs that score so high; not every text meets every target."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(400)]
+    targets = [(" ".join(rng.sample(words, 3)), None, f"C{i:04d}") for i in range(600)]
+    texts = [(t[:2] + t[3:], None) for t, _, _ in targets]
+    specs, goal = (spark.createDataFrame(rows, schema) for rows, schema in (
+        (texts, "description string, canon string"), (targets, "target string, target_alloy string, code string")))
+    seen = []
+    inner = names.candidates
+    try:
+        names.candidates = lambda *a: seen.append(inner(*a)) or seen[-1]
+        found = best_targets(specs, goal, 86.0, 5.0).collect()
+    finally:
+        names.candidates = inner
+    assert len(found) >= 590
+    assert seen[0].count() < 600 * 600 * 0.02
+
+
 def slow_lcs(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
