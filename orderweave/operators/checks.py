@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderweave.functions.text import norm_code
@@ -81,6 +81,48 @@ def order_change_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
     return changes, per_order.withColumn("verdict", verdict)
 
 
+def _previous_versions(versions: DataFrame) -> DataFrame:
+    """``order_ref, version, before``: each version of an order with the one before it."""
+    in_order = Window.partitionBy("order_ref").orderBy("version")
+    once = versions.select("order_ref", "version").distinct()
+    return once.withColumn("before", F.lag("version").over(in_order))
+
+
+def order_change_chain(versions: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes along all versions of orders, each against the version before it.
+
+    versions: ``order_ref, version``, also those without a line; lines: ``order_ref, version, line_no,
+    quantity, delivery_date``. Returns the changed lines per version, and one row per version with the
+    counts and its verdict: ``new_order``, ``order_cancelled`` (no line left), ``still_cancelled``,
+    ``order_reopened`` (lines after none), ``possible_change`` or ``unchanged``.
+    """
+    chain = _previous_versions(versions)
+    # The lines of a version count twice: as its own, and as those before the next version.
+    own = lines.join(chain.select("order_ref", "version"), ["order_ref", "version"])
+    before = lines.withColumnRenamed("version", "before").join(
+        chain.where(F.col("before").isNotNull()), ["order_ref", "before"])
+    key = F.struct("order_ref", "version").alias("order_ref")
+    fields = ["line_no", "quantity", "delivery_date"]
+    changes, counts = order_change_diff(before.select(key, *fields), own.select(key, *fields))
+    flat = lambda df: df.select("order_ref.*", *[c for c in df.columns if c != "order_ref"])
+    kinds = ["line_added", "line_cancelled", "quantity_changed", "date_moved"]
+    sums = [*kinds, "old_lines", "new_lines"]
+    counted = chain.join(flat(counts).select("order_ref", "version", *sums), ["order_ref", "version"], "left").fillna(0, sums)
+    touched = sum((F.col(k) for k in kinds), F.lit(0))
+    verdict = (F.when(F.col("before").isNull(), "new_order")
+               .when((F.col("old_lines") == 0) & (F.col("new_lines") == 0), "still_cancelled")
+               .when(F.col("old_lines") == 0, "order_reopened")
+               .when(F.col("new_lines") == 0, "order_cancelled")
+               .when(touched > 0, "possible_change").otherwise("unchanged"))
+    return flat(changes), counted.select("order_ref", "version", "before", *sums, verdict.alias("verdict"))
+
+
+def latest_lines(versions: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of each order's latest version; none for an order that ended cancelled."""
+    latest = versions.groupBy("order_ref").agg(F.max("version").alias("version"))
+    return lines.join(latest, ["order_ref", "version"], "left_semi")
+
+
 def compare_extractions(a: DataFrame, b: DataFrame, fields: list[str],
                         keys: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
     """Fields in which two extractions of the same line disagree.

@@ -45,11 +45,35 @@ def literal(text: str, dtype: T.DataType) -> Column:
     raise ValueError(f"unsupported column type: {dtype.simpleString()}")
 
 
-def time_literal(text: str) -> Column:
-    """Times of day are kept as ``HH:MM:SS`` text."""
+#: Key of a text column's metadata that says it holds times of day, as ``HH:MM:SS``; for
+#: sessions and files without a type for them.
+TIME_OF_DAY = "time_of_day"
+
+
+def holds_times(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.TimeType) or bool((field.metadata or {}).get(TIME_OF_DAY))
+
+
+def time_text(text: str) -> str:
+    """A time of day with two digits for each of its parts, which sorts by time."""
     if not re.fullmatch(r"([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d", text):
-        raise ValueError(f"invalid time: {text} (expected HH:MM:SS)")
-    return F.lit(":".join(p.zfill(2) for p in text.split(":")))
+        raise ValueError(f"not a time of day: {text}; hours, minutes and seconds are needed")
+    return ":".join(part.zfill(2) for part in text.split(":"))
+
+
+def field_literal(text: str, field: T.StructField) -> Column:
+    """As ``literal``, also for times of day."""
+    if not holds_times(field):
+        return literal(text, field.dataType)
+    value = F.lit(time_text(text))
+    return F.to_time(value) if isinstance(field.dataType, T.TimeType) else value
+
+
+def _read_time(c: Column, dtype: T.DataType) -> Column:
+    """A column of texts as times; NULL where one does not read as such."""
+    parts = F.transform(F.split(strip(c), ":"), lambda p: F.lpad(p, 2, "0"))
+    value = F.when(strip(c).rlike(r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"), F.array_join(parts, ":"))
+    return F.try_to_time(value) if isinstance(dtype, T.TimeType) else value
 
 
 def filter_column(df: DataFrame, filters: dict[str, str]) -> Column:
@@ -63,7 +87,7 @@ def filter_column(df: DataFrame, filters: dict[str, str]) -> Column:
             raise ValueError(f"unsupported operator: {op}")
         if name not in df.columns:
             raise ValueError(f"unknown column: {name}")
-        predicates.append(_COMPARE[op](F.col(name), literal(value, df.schema[name].dataType)))
+        predicates.append(_COMPARE[op](F.col(name), field_literal(value, df.schema[name])))
     return all_of(predicates)
 
 
@@ -85,6 +109,8 @@ def cast_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
             value = F.lower(c).isin(*_TRUE_WORDS)
         elif isinstance(dtype, T.DateType):
             value = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+        elif holds_times(field):
+            value = _read_time(c, dtype)
         elif isinstance(dtype, T.VariantType):
             value = F.try_parse_json(c)
         elif isinstance(dtype, T.StringType):
@@ -98,18 +124,47 @@ def cast_columns(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 # --- queries --------------------------------------------------------------------------
 
-def sort_columns(order_by: str | None, key: list[str]) -> list[Column]:
-    """``"column[:asc|desc]"`` plus the key, so that pages do not overlap."""
-    columns = []
+def _sort_order(order_by: str | None, key: list[str]) -> list[tuple[str, bool, bool]]:
+    """(column, ascending, NULLs first) of a sort, with the key, so that pages do not overlap."""
+    order = []
     if order_by:
         name, _, direction = order_by.partition(":")
         direction = direction.lower() or "asc"
         if direction not in ("asc", "desc"):
             raise ValueError(f"unknown sort direction: {direction}")
         # NULLs sort as the largest value.
-        columns.append(F.asc_nulls_last(name) if direction == "asc"
-                       else F.desc_nulls_first(name))
-    return columns + [F.asc(k) for k in key]
+        order.append((name, direction == "asc", direction == "desc"))
+    return order + [(k, True, True) for k in key]
+
+
+def sort_columns(order_by: str | None, key: list[str]) -> list[Column]:
+    """``"column[:asc|desc]"`` plus the key."""
+    return [(F.asc_nulls_first if nulls_first else F.asc_nulls_last)(name) if ascending
+            else (F.desc_nulls_first if nulls_first else F.desc_nulls_last)(name)
+            for name, ascending, nulls_first in _sort_order(order_by, key)]
+
+
+def _cursor_value(df: DataFrame, name: str, value) -> Column:
+    field = df.schema[name]
+    return field_literal(str(value), field) if holds_times(field) else F.lit(value).cast(field.dataType)
+
+
+def after_cursor(df: DataFrame, cursor: dict, order_by: str | None, key: list[str]) -> Column:
+    """The rows that come after the row with these values in the sort order, NULLs included."""
+    alternatives, same = [], []
+    for name, ascending, nulls_first in _sort_order(order_by, key):
+        c, value = F.col(name), cursor[name]
+        if value is None:
+            later = c.isNotNull() if nulls_first else F.lit(False)
+            equal = c.isNull()
+        else:
+            bound = _cursor_value(df, name, value)
+            later = c > bound if ascending else c < bound
+            later = F.coalesce(later, F.lit(not nulls_first))
+            equal = c.eqNullSafe(bound)
+        alternatives.append(all_of([*same, later]))
+        same.append(equal)
+    return any_of(alternatives)
 
 
 def decimals_as_double(df: DataFrame) -> DataFrame:
@@ -121,16 +176,38 @@ def decimals_as_double(df: DataFrame) -> DataFrame:
 def query_table(df: DataFrame, filters: dict[str, str] | None = None,
                 columns: list[str] | None = None, order_by: str | None = None,
                 limit: int = 100, offset: int = 0, key: list[str] | None = None,
-                max_page: int | None = None) -> DataFrame:
-    """One page of a table. ``max_page`` refuses larger pages, if the caller wants that."""
+                max_page: int | None = None, after: dict | None = None) -> DataFrame:
+    """One page of a table. ``max_page`` refuses larger pages, if the caller wants that.
+
+    after: the ``next_cursor`` of the page before. A page then starts behind that row and costs
+    the same wherever it stands, while an offset sorts all rows before it too.
+    """
     if limit < 1 or offset < 0 or (max_page is not None and limit > max_page):
         raise ValueError(f"limit must be 1..{max_page or 'any'} and offset not negative")
+    if after is not None and not key:
+        raise ValueError("pages by cursor need a key")
     found = df.where(filter_column(df, filters or {}))
+    if after is not None:
+        found = found.where(after_cursor(df, after, order_by, key))
     order = sort_columns(order_by, key or [])
     page = (found.orderBy(*order) if order else found).offset(offset).limit(limit)
     return decimals_as_double(page.select(*(columns or df.columns)))
 
 
+def next_cursor(page: DataFrame, order_by: str | None, key: list[str], limit: int) -> dict | None:
+    """The sort values of a page's last row; None after a page that is not full.
+
+    The page must hold the sort column and the key. Decimals go through doubles, as in the page.
+    """
+    order = _sort_order(order_by, key)
+    shown = [F.col(n).cast("string").alias(n) if holds_times(page.schema[n]) else F.col(n) for n, *_ in order]
+    from_the_end = [(F.desc_nulls_last if nulls_first else F.desc_nulls_first)(n) if ascending
+                    else (F.asc_nulls_last if nulls_first else F.asc_nulls_first)(n) for n, ascending, nulls_first in order]
+    if page.count() < limit:
+        return None
+    return page.orderBy(*from_the_end).select(*shown).first().asDict()
+
+
 def next_offset(page: DataFrame, limit: int, offset: int) -> int | None:
     """Where the next page starts; None after a page that is not full."""
     rows = page.count()
@@ -236,8 +313,8 @@ def _set_column(df: DataFrame, name: str, value) -> Column:
     if isinstance(value, Column):
         return value
     dtype = df.schema[name].dataType
-    if isinstance(value, str) and not isinstance(dtype, T.StringType):
-        return literal(value, dtype)
+    if isinstance(value, str) and (not isinstance(dtype, T.StringType) or holds_times(df.schema[name])):
+        return field_literal(value, df.schema[name])
     return F.lit(value).cast(dtype)
 
 

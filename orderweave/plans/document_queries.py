@@ -16,6 +16,7 @@ from orderweave.sources import catalog as cat
 from orderweave.sources import files as fl
 from orderweave.sources import pages as pg
 from orderweave.sources import sinks
+from orderweave.sources.interchanges import read_interchanges
 from orderweave.streaming.intake import start_intake
 from orderweave.streaming.runs import stream_parquet
 
@@ -278,25 +279,53 @@ def edi_lines(spark, sf):
 
 
 def edi_validate(spark, sf):
-    segments = interchange.edi_scan(_edi_files(spark, sf))
-    _, verdicts = interchange.edi_validate(segments, fx.catalog(spark, sf), RULES_AS_OF)
+    _, verdicts = interchange.edi_validate(_edi_files(spark, sf), fx.catalog(spark, sf), RULES_AS_OF)
     return verdicts.select("file", "accepted", F.array_join("rules", "|").alias("rules"))
 
 
+_BULK = 200
+
+
 def edi_validate_bulk(spark, sf):
-    """Many interchanges per file, as the bulk export writes them."""
-    names = F.concat(F.lit("bulk"), (F.col("file") % 40).cast("string")).alias("file")
-    bulk = _edi_files(spark, sf).groupBy(names).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("file").alias("o"), "text"))),
-                                 lambda r: r["text"]), "").alias("text"))
-    segments = interchange.edi_scan(bulk)
-    _, verdicts = interchange.edi_validate(segments, fx.catalog(spark, sf), RULES_AS_OF)
-    return verdicts.select("file", "interchange_no", "accepted", F.array_join("rules", "|").alias("rules"))
+    """Files of up to 200 interchanges, written as the bulk export does and read back."""
+    out = shared_dir(spark, "bulk")
+    (_edi_files(spark, sf).select(
+        F.floor(F.col("file") / _BULK).alias("bulk"), "file", F.regexp_replace("text", "\n$", "").alias("text"))
+        .repartition("bulk").sortWithinPartitions("bulk", "file").select("bulk", "text")
+        .write.partitionBy("bulk").text(out))
+    _, verdicts = interchange.edi_validate(
+        read_interchanges(spark, f"{out}/bulk=*"), fx.catalog(spark, sf), RULES_AS_OF)
+    name = F.concat(F.lit("bulk"), F.regexp_extract("file", r"bulk=(\d+)", 1))
+    return verdicts.select(name.alias("file"), "interchange_no", "accepted",
+                           F.array_join("rules", "|").alias("rules"))
+
+
+_RULE_BREAKS = (
+    # rule, what is looked for in the message, what takes its place
+    ("R1", r"UNOA:2", "UNOB:1"), ("R2", r"(UNB\+[^']*?\+)4012345123456", "$19"),
+    ("R3", r"(UNB\+[^']*\+)\d{6}:", "$1261340:"), ("R4", r"D:96A", "D:97A"),
+    ("R5", r"BGM\+220", "BGM+231"), ("R6", r"(?s)LIN\+.*(?=UNS\+S)", ""),
+    ("R7", r"CNT\+2:", "CNT+2:9"), ("R8", r"UNT\+", "UNT+9"), ("R9", r"UNZ\+1", "UNZ+2"),
+    ("L1", r"PIA\+1[^']*'\n", ""), ("L2", r"(PIA\+1\+[^':]*):SA", "$1:BP"),
+    ("L3", r"PIA\+1\+[^':]*", "PIA+1+NONE"), ("L4", r"QTY\+21:", "QTY+21:x"),
+    ("L5", r"(QTY\+21:[^':]*):[A-Za-z]+", "$1:BOX"), ("L6", r"DTM\+2:", "DTM+2:x"))
+
+
+def edi_validate_rules(spark, sf):
+    """Every one of the sixteen rules broken in some messages."""
+    text, kind = F.col("edi_text"), F.col("order_id") % 17
+    for number, (_, pattern, instead) in enumerate(_RULE_BREAKS):
+        text = F.when(kind == number, F.regexp_replace("edi_text", pattern, instead)).otherwise(text)
+    # More lines than a message may have; they hold nothing else.
+    text = F.when((kind == 15) & (F.col("order_id") % 5 == 0), F.replace(
+        F.col("edi_text"), F.lit("UNS+S'"), F.concat(F.repeat(F.lit("LIN+1'\n"), F.lit(1000)), F.lit("UNS+S'")))).otherwise(text)
+    files = oq.generate_messages(spark, sf).select(F.col("order_id").alias("file"), text.alias("text"))
+    _, verdicts = interchange.edi_validate(files, fx.catalog(spark, sf), RULES_AS_OF)
+    return verdicts.select("file", "accepted", F.array_join("rules", "|").alias("rules"))
 
 
 def edi_violations(spark, sf):
-    segments = interchange.edi_scan(_edi_files(spark, sf))
-    broken, _ = interchange.edi_validate(segments, fx.catalog(spark, sf), RULES_AS_OF)
+    broken, _ = interchange.edi_validate(_edi_files(spark, sf), fx.catalog(spark, sf), RULES_AS_OF)
     return broken.select("file", "rule", "line_index", "code")
 
 
@@ -344,6 +373,33 @@ def order_change_diff(spark, sf):
     return checks.order_change_diff(*_versions(spark, sf))[1]
 
 
+def _chain(spark, sf):
+    """Four versions of orders: changed, some cancelled, reopened, new lines."""
+    old = fx.lines(spark, sf).select(F.col("order_id").alias("order_ref"), "line_no", "quantity", "delivery_date", "l_partkey")
+    v, k, ref = F.col("version"), F.col("l_partkey") % 11, F.col("order_ref")
+    every = old.select("*", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3, 4)])).alias("version"))
+    # Orders divisible by 7 have no second version, those by 10 are cancelled in the third.
+    exists = ~((ref % 7 == 0) & (v == 2))
+    lines = every.where(exists & ~((ref % 10 == 0) & (v == 3)) & ~((ref % 15 == 0) & (v >= 3)) & ~((k == 0) & (v == 2))).select(
+        "order_ref", "version", "line_no",
+        F.when((k == 1) & (v >= 3), F.col("quantity") + v).otherwise(F.col("quantity")).alias("quantity"),
+        F.when((k == 2) & (v == 4), F.date_add("delivery_date", 7)).otherwise(F.col("delivery_date")).alias("delivery_date"))
+    return every.where(exists).select("order_ref", "version").distinct(), lines
+
+
+def order_change_chain(spark, sf):
+    return checks.order_change_chain(*_chain(spark, sf))[1]
+
+
+def order_chain_lines(spark, sf):
+    return checks.order_change_chain(*_chain(spark, sf))[0].select(
+        "order_ref", "version", "line_no", "change", "old_quantity", "new_quantity")
+
+
+def latest_lines(spark, sf):
+    return checks.latest_lines(*_chain(spark, sf))
+
+
 def compare_extractions(spark, sf):
     a = fx.lines(spark, sf).withColumnRenamed("order_id", "doc_id")
     b = a.withColumns({
@@ -388,8 +444,8 @@ QUERIES = {f.__name__: f for f in (
     file_manifest_children, file_manifest_refused, directory_totals, parse_order_tables,
     parse_order_tables_orders, parse_json_payloads, parse_json_payloads_orders,
     standardise_lines, unmapped_values, route_extraction, route_extraction_refused,
-    provenance_log, edi_scan, edi_lines, edi_validate, edi_validate_bulk, edi_violations, extraction_score,
-    order_change_lines, order_change_diff, compare_extractions, qty_plausibility,
+    provenance_log, edi_scan, edi_lines, edi_validate, edi_validate_bulk, edi_validate_rules, edi_violations, extraction_score,
+    order_change_lines, order_change_diff, order_change_chain, order_chain_lines, latest_lines, compare_extractions, qty_plausibility,
     intake_stream)}
 
 
@@ -466,6 +522,21 @@ _VERSIONS = {
         UNION ALL SELECT *, 'date_moved' FROM pairs
                   WHERE was AND now_there AND od IS DISTINCT FROM nd""",
 }
+_CHAIN = {
+    "ev": """SELECT order_id AS r, l_partkey % 11 AS k, line_no, quantity, delivery_date, v
+             FROM fx_lines CROSS JOIN (VALUES (1), (2), (3), (4)) t(v)
+             WHERE NOT (order_id % 7 = 0 AND v = 2)""",
+    "ch": "SELECT r, v, lag(v) OVER (PARTITION BY r ORDER BY v) AS b FROM (SELECT DISTINCT r, v FROM ev)",
+    "li": """SELECT r, v, line_no, CASE WHEN k = 1 AND v >= 3 THEN quantity + v ELSE quantity END AS q,
+                    CASE WHEN k = 2 AND v = 4 THEN delivery_date + 7 ELSE delivery_date END AS d
+             FROM ev WHERE NOT (r % 10 = 0 AND v = 3) AND NOT (r % 15 = 0 AND v >= 3) AND NOT (k = 0 AND v = 2)""",
+    # Every line number that a version or the one before it has, with both of its states.
+    "st": """SELECT ch.r, ch.v, n.line_no, o.line_no IS NOT NULL AS was, w.line_no IS NOT NULL AS there,
+                    o.q AS oq, w.q AS nq, o.d AS od, w.d AS nd
+             FROM ch JOIN (SELECT DISTINCT r, line_no FROM li) n ON n.r = ch.r
+             LEFT JOIN li o ON o.r = ch.r AND o.v = ch.b AND o.line_no = n.line_no
+             LEFT JOIN li w ON w.r = ch.r AND w.v = ch.v AND w.line_no = n.line_no""",
+}
 _SCORE = {
     **oq._EXACT,
     "pair": """SELECT e.order_id, e.customer,
@@ -608,9 +679,26 @@ ORACLE = {
         SELECT order_id, concat_ws('|', max(l3), max(l4), max(l5), max(l6),
             CASE order_id % 8 WHEN 0 THEN 'R1' WHEN 1 THEN 'R5' WHEN 2 THEN 'R7'
                  WHEN 3 THEN 'R9' END) AS rules FROM lr GROUP BY order_id"""}, """
-        SELECT concat('bulk', order_id % 40) AS file,
-               row_number() OVER (PARTITION BY order_id % 40 ORDER BY order_id) AS interchange_no,
+        SELECT concat('bulk', order_id // 200) AS file,
+               row_number() OVER (PARTITION BY order_id // 200 ORDER BY order_id) AS interchange_no,
                rules = '' AS accepted, rules FROM v"""),
+    "edi_validate_rules": with_views("fx_lines fx_orders", {**_LINE_RULES, "v": """
+        SELECT order_id, CAST(order_id % 17 AS INT) AS kind, order_id % 17 = 15 AND order_id % 5 = 0 AS many,
+               max(l3) AS l3, max(l4) AS l4, max(l5) AS l5, max(l6) AS l6 FROM lr GROUP BY order_id""",
+        "u": """
+        SELECT order_id, list_sort(list_distinct(list_filter(CASE
+            WHEN kind = 5 THEN ['R6', 'R7', 'R8']
+            WHEN kind = 9 THEN ['L1', 'R8', l4, l5, l6]
+            WHEN kind = 10 THEN ['L2', l3, l4, l5, l6]
+            WHEN kind = 11 THEN ['L3', l4, l5, l6]
+            WHEN kind = 12 THEN ['L4', l3, l5, l6]
+            WHEN kind = 13 THEN ['L5', l3, l4, l6]
+            WHEN kind = 14 THEN ['L6', l3, l4, l5]
+            WHEN many THEN ['L1', 'L4', 'L5', 'L6', 'L7', 'R7', 'R8', l3]
+            ELSE [l3, l4, l5, l6, CASE kind WHEN 0 THEN 'R1' WHEN 1 THEN 'R2' WHEN 2 THEN 'R3'
+                WHEN 3 THEN 'R4' WHEN 4 THEN 'R5' WHEN 6 THEN 'R7' WHEN 7 THEN 'R8' WHEN 8 THEN 'R9' END]
+            END, lambda x: x IS NOT NULL))) AS rules FROM v"""}, """
+        SELECT order_id AS file, len(rules) = 0 AS accepted, array_to_string(rules, '|') AS rules FROM u"""),
     "edi_violations": with_views("fx_lines fx_orders", _LINE_RULES, """
         SELECT order_id AS file, l3 AS rule, k AS line_index, code FROM lr WHERE l3 IS NOT NULL
         UNION ALL SELECT order_id, l4, k, code FROM lr WHERE l4 IS NOT NULL
@@ -642,6 +730,30 @@ ORACLE = {
                        THEN 'order_cancelled'
                        WHEN line_added + line_cancelled + quantity_changed + date_moved > 0
                        THEN 'possible_change' ELSE 'unchanged' END AS verdict FROM per"""),
+    "order_change_chain": with_views("fx_lines", {**_CHAIN, "per": """
+        SELECT r, v, count(*) FILTER (WHERE there AND NOT was) AS line_added,
+               count(*) FILTER (WHERE was AND NOT there) AS line_cancelled,
+               count(*) FILTER (WHERE was AND there AND oq IS DISTINCT FROM nq) AS quantity_changed,
+               count(*) FILTER (WHERE was AND there AND od IS DISTINCT FROM nd) AS date_moved,
+               count(*) FILTER (WHERE was) AS old_lines, count(*) FILTER (WHERE there) AS new_lines
+        FROM st GROUP BY 1, 2"""}, """
+        SELECT ch.r AS order_ref, ch.v AS version, b AS before, line_added, line_cancelled, quantity_changed, date_moved,
+               old_lines, new_lines, CASE WHEN b IS NULL THEN 'new_order'
+                   WHEN old_lines + new_lines = 0 THEN 'still_cancelled' WHEN old_lines = 0 THEN 'order_reopened'
+                   WHEN new_lines = 0 THEN 'order_cancelled'
+                   WHEN line_added + line_cancelled + quantity_changed + date_moved > 0 THEN 'possible_change'
+                   ELSE 'unchanged' END AS verdict
+        FROM ch JOIN per ON per.r = ch.r AND per.v = ch.v"""),
+    "order_chain_lines": with_views("fx_lines", _CHAIN, """
+        SELECT r AS order_ref, v AS version, line_no, change, oq AS old_quantity, nq AS new_quantity FROM (
+            SELECT *, unnest(list_filter([CASE WHEN there AND NOT was THEN 'line_added' END,
+                CASE WHEN was AND NOT there THEN 'line_cancelled' END,
+                CASE WHEN was AND there AND oq IS DISTINCT FROM nq THEN 'quantity_changed' END,
+                CASE WHEN was AND there AND od IS DISTINCT FROM nd THEN 'date_moved' END], lambda x: x IS NOT NULL)) AS change
+            FROM st)"""),
+    "latest_lines": with_views("fx_lines", _CHAIN, """
+        SELECT r AS order_ref, v AS version, line_no, q AS quantity, d AS delivery_date FROM li
+        WHERE v = (SELECT max(c.v) FROM ch c WHERE c.r = li.r)"""),
     "compare_extractions": with_views("fx_lines", {}, """
         SELECT order_id AS doc_id, line_no, 'quantity' AS field,
                printf('%.1f', quantity) AS value_a, printf('%.1f', quantity - 20) AS value_b,

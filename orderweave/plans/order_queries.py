@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from orderweave.operators import flags, messages, orders, resolution
 from orderweave.plans import fixtures as fx
 from orderweave.plans.fixtures import with_views
+from orderweave.session import shared_dir
+from orderweave.sources import sinks
+from orderweave.sources.interchanges import read_interchanges
 
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 
@@ -185,6 +188,22 @@ def export_plan(spark, sf):
                        F.length("blob_path").cast("bigint").alias("path_chars"))
 
 
+def export_round_trip(spark, sf):
+    """Two exports, the first one run twice, read back from their files and merged into the orders."""
+    heads, lines = _message_input(spark, sf)
+    catalog, out = fx.catalog(spark, sf), shared_dir(spark, "export")
+    for even in (True, True, False):
+        part = heads.where((F.col("id") % 2 == 0) | F.lit(not even))
+        log = sinks.export_batch(part, lines.join(part.select(F.col("id").alias("order_id")), "order_id", "left_semi"),
+                                 catalog, out, AS_OF, "first" if even else "second")
+    back = read_interchanges(spark, f"{out}/edifact").select(
+        F.regexp_extract("text", r"UNH\+([^+']+)A\+", 1).alias("ref"), F.md5(F.rtrim("text", F.lit("\n"))).alias("md5"))
+    written = log.select(F.col("order_id").alias("id"), "ref", F.col("batch").cast("string").alias("batch")).join(back, "ref", "left")
+    merged = sinks.merge_status(heads.withColumn("status", F.lit("ready")), log)
+    return merged.join(written, "id", "left").select(
+        F.col("id").alias("order_id"), "status", "batch", "md5")
+
+
 def fold_text(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     return messages.fold_text(docs, ["text"])
@@ -200,7 +219,7 @@ QUERIES = {f.__name__: f for f in (
     match_fuzzy, match_fuzzy_misspelled, resolve_lines, resolve_lines_without_fuzzy,
     cross_check_codes, flag_lines, flag_frequency, apply_edits, rejected_edits,
     learn_aliases, order_gate_ready, order_gate_blocked, order_gate_blocking_lines,
-    orders_with_lines, generate_messages, export_plan, fold_text, release_text)}
+    orders_with_lines, generate_messages, export_plan, export_round_trip, fold_text, release_text)}
 
 
 # --- oracle ---------------------------------------------------------------------
@@ -269,6 +288,51 @@ _FUZZY = {
              ON t.alloy = x.alloy AND list_has_all(x.words, string_split(t.target, ' '))
              GROUP BY 1""",
 }
+# The score itself, for texts that no set of words settles. The longest common subsequence of what is left
+# of both sides goes row by row over the letters of one, with the list of the lengths so far.
+_SCORED = {
+    "damaged": """
+        SELECT order_id, line_no, CASE WHEN length(description) > l_partkey % 7 + 2 THEN
+               concat(substring(description, 1, CAST(l_partkey % 7 + 1 AS INT)),
+                      substring(description, CAST(l_partkey % 7 + 3 AS INT))) END AS description FROM fx_lines""",
+    "said": f"""
+        SELECT description, {_ALLOY.format('description')} AS alloy,
+               list_distinct(list_filter(string_split(description, ' '), lambda w: w <> '')) AS words
+        FROM (SELECT DISTINCT description FROM damaged WHERE description IS NOT NULL)""",
+    "goals": """
+        SELECT target, alloy, code, list_distinct(list_filter(string_split(target, ' '), lambda w: w <> '')) AS words
+        FROM (SELECT concat(profile_name, ' ', alloy) AS target, alloy, min(internal_code) AS code
+              FROM fx_catalog WHERE status = 'A' GROUP BY 1, 2)""",
+    "sides": """
+        SELECT x.description, g.code, CASE WHEN x.alloy = g.alloy THEN 5.0 ELSE 0.0 END AS bonus,
+               length(array_to_string(list_filter(x.words, lambda w: list_contains(g.words, w)), ' ')) AS common,
+               array_to_string(list_sort(list_filter(x.words, lambda w: NOT list_contains(g.words, w))), ' ') AS a,
+               array_to_string(list_sort(list_filter(g.words, lambda w: NOT list_contains(x.words, w))), ' ') AS b
+        FROM said x CROSS JOIN goals g""",
+    "cut": """SELECT DISTINCT a, b, string_split(a, '') AS la, string_split(b, '') AS lb FROM sides
+              WHERE a <> '' AND b <> ''""",
+    "sub": """
+        SELECT a, b, list_reduce(list_prepend(list_transform(range(len(lb) + 1), lambda i: 0),
+            list_transform(la, lambda x: list_transform(lb, lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))),
+            lambda before, same: list_reduce(list_prepend([0], list_transform(range(1, len(same) + 1),
+                lambda j: [same[j], before[j], before[j + 1]])),
+                lambda row, e: list_append(row, CASE WHEN e[1] = 1 THEN e[2] + 1
+                                                     ELSE greatest(row[len(row)], e[3]) END)))[len(lb) + 1] AS n
+        FROM cut""",
+    "parts": """
+        SELECT s.*, coalesce(sub.n, 0) AS n, length(s.a) AS na, length(s.b) AS nb,
+               CASE WHEN common > 0 THEN 1 ELSE 0 END AS gap
+        FROM sides s LEFT JOIN sub ON sub.a = s.a AND sub.b = s.b""",
+    "graded": """
+        SELECT description, code, bonus + CASE WHEN common > 0 AND (na = 0 OR nb = 0) THEN 100.0
+            ELSE greatest(100.0 - 100.0 * (na + nb - 2 * n) / (2 * common + 2 * gap + na + nb),
+                 CASE WHEN common > 0 THEN 100.0 - 100.0 * (1 + na) / (2 * common + 1 + na) ELSE 0.0 END,
+                 CASE WHEN common > 0 THEN 100.0 - 100.0 * (1 + nb) / (2 * common + 1 + nb) ELSE 0.0 END) END AS score
+        FROM parts""",
+    "best": """
+        SELECT description, code, score FROM graded WHERE score >= 86
+        QUALIFY row_number() OVER (PARTITION BY description ORDER BY score DESC, code) = 1""",
+}
 _LEARNED = {
     "idx": _EXACT["idx"],
     "learn": "SELECT a.customer_code, a.customer_part_code, i.item FROM fx_aliases a "
@@ -379,6 +443,9 @@ ORACLE = {
         SELECT l.order_id, l.line_no, f.code AS fuzzy_code,
                CASE WHEN f.code IS NOT NULL THEN 105.0 END AS fuzzy_score
         FROM fx_lines l LEFT JOIN fz f ON f.description = l.description"""),
+    "match_fuzzy_misspelled": with_views("fx_lines", _SCORED, """
+        SELECT d.order_id, d.line_no, b.code AS fuzzy_code, round(b.score, 4) AS fuzzy_score
+        FROM damaged d LEFT JOIN best b ON b.description = d.description"""),
     "resolve_lines": with_views(_ALL_VIEWS, _resolve(True), """
         SELECT order_id, line_no, resolved AS resolved_internal_code, tier AS match_tier,
                chk AS code_check FROM res"""),
@@ -438,6 +505,11 @@ ORACLE = {
                'edifact_generated' AS status,
                CAST(27 + length(CAST(order_id AS STRING)) AS BIGINT) AS path_chars
         FROM full_msg WHERE order_id % 2 <> 0"""),
+    "export_round_trip": with_views("fx_lines fx_orders", _MESSAGE, """
+        SELECT o.id AS order_id, CASE WHEN m.order_id IS NULL THEN 'ready' ELSE 'edifact_generated' END AS status,
+               CASE WHEN m.order_id % 2 = 0 THEN 'first' WHEN m.order_id % 2 = 1 THEN 'second' END AS batch,
+               md5(rtrim(m.edi_text, chr(10))) AS md5
+        FROM fx_orders o LEFT JOIN full_msg m ON m.order_id = o.id"""),
     "fold_text": f"SELECT doc_id, {_FOLD} AS text FROM documents",
     "release_text": f"SELECT doc_id, regexp_replace({_FOLD}, '([?+:''])', '?\\1', 'g') AS text "
                     "FROM documents",

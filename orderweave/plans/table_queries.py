@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,9 +11,11 @@ from orderweave.operators import findings as fi
 from orderweave.operators import tables, usage
 from orderweave.plans import fixtures as fx
 from orderweave.plans.fixtures import with_views
-from orderweave.session import shared_dir
+from orderweave.session import shared_dir, stored
 from orderweave.sources import reports
-from orderweave.streaming.runs import run_to_parquet, stream_parquet
+from orderweave.sources.keyed import delete_stored, merge_stored, update_stored, write_keyed
+from orderweave.streaming.runs import run_to_end, stream_parquet, tick, tick_stream
+from orderweave.streaming.usage import ROCKSDB
 from orderweave.streaming.usage import usage_alerts as alerts
 from orderweave.streaming.usage import usage_windows as windows
 
@@ -30,6 +32,37 @@ def query_table(spark, sf):
         ["o_orderkey"])
 
 
+def _timed_events(spark, sf):
+    """Events with their time of day, as marked text; some have none."""
+    at = F.when(F.col("event_id") % 11 != 0, F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss"))
+    return fx.table(spark, sf, "events").select(
+        "event_id", "event_type", at.alias("at", metadata={tables.TIME_OF_DAY: True}))
+
+
+def query_table_times(spark, sf):
+    """Filters on times of day; texts read as times, and those that are none."""
+    events = _timed_events(spark, sf)
+    early = events.where(tables.filter_column(events, {"at": "lt:17:05:9"}))
+    # As a source may write them: without leading zeros, or not at all.
+    said = F.when(F.col("event_id") % 13 == 0, "noon").otherwise(F.regexp_replace("at", r"\b0(\d)", "$1"))
+    read = tables.cast_columns(early.where(tables.filter_column(early, {"at": "gte:8:30:00"})).select(
+        "event_id", said.alias("at")), events.select("event_id", "at").schema)
+    return read.select("event_id", "at", F.array_join("cast_errors", "|").alias("errors"))
+
+
+def query_table_pages(spark, sf):
+    """Six pages by cursor, sorted by time of day, latest first; together they are the table."""
+    events = _timed_events(spark, sf)
+    size, after, pages, number = -(-events.count() // 6) + 1, None, None, 0
+    while number == 0 or after:
+        number += 1
+        page = tables.query_table(events, {"event_type": "gte:b"}, None, "at:desc", size, 0, ["event_id"], None, after)
+        after = tables.next_cursor(page, "at:desc", ["event_id"], size)
+        shown = page.select("event_id", "at", F.lit(number).alias("page"))
+        pages = shown if pages is None else pages.unionByName(shown)
+    return pages
+
+
 def query_documents(spark, sf):
     docs = fx.table(spark, sf, "events").select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("_id"),
@@ -279,21 +312,57 @@ def _usage_stream(spark, sf):
         F.col("ts").cast("timestamp").alias("timestamp"))
 
 
+def _to_end(spark, sf, make, settings):
+    """Run a usage stream over all events, then close what is open two months later."""
+    ticks = shared_dir(spark, "ticks")
+    tick(spark, ticks)
+    last = fx.table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    # Few rows per part of the state: no more parts than cores.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return run_to_end(make(_usage_stream(spark, sf), tick_stream(spark, ticks)), ticks,
+                      last + timedelta(days=60), shared_dir(spark, "usage-stream"), shared_dir(spark, "usage-state"),
+                      {"spark.sql.shuffle.partitions": str(parts), **settings})
+
+
 def usage_windows(spark, sf):
-    out = run_to_parquet(windows(_usage_stream(spark, sf), "1 day"),
-                         shared_dir(spark, "usage-windows"), shared_dir(spark, "usage-state"))
-    return _money(out, "cost")
+    return _money(_to_end(spark, sf, lambda usages, ticks: windows(usages, "1 day", ticks=ticks), {}), "cost")
 
 
 def usage_alerts(spark, sf):
     # Static sides of a stream are planned per batch, so the limits are stored first.
-    stored = shared_dir(spark, "limits")
-    _limits(spark, sf).write.parquet(stored)
-    out = run_to_parquet(alerts(_usage_stream(spark, sf), spark.read.parquet(stored)),
-                         shared_dir(spark, "alerts"), shared_dir(spark, "alert-state"))
+    limits = stored(_alert_limits(spark, sf), "limits")
+    out = _to_end(spark, sf, lambda usages, ticks: alerts(usages, limits, ticks=ticks), ROCKSDB)
     return _money(out, "cost")
 
 
+def _alert_limits(spark, sf):
+    """The limits, and tighter ones that daily and minute sums cross again and again."""
+    use = fx.usages(spark, sf)
+    days = use.groupBy("path", F.to_date("timestamp")).agg(F.sum("tokens").alias("t"))
+    tight = days.groupBy("path").agg(F.floor(F.avg("t")).cast("bigint").alias("max_tokens")).select(
+        F.lit("daily").alias("period"), "path", F.lit(None).cast("double").alias("max_cost"), "max_tokens")
+    minute = use.groupBy().agg((F.max("tokens") * 2).cast("bigint").alias("max_tokens")).select(
+        F.lit("minute").alias("period"), F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("double").alias("max_cost"), "max_tokens")
+    return _limits(spark, sf).where("period = 'monthly'").unionByName(tight).unionByName(minute)
+
+
+# --- stored tables ----------------
+
+def change_stored_rows(spark, sf):
+    """Orders as a stored table: some replaced, some new, some updated, some deleted."""
+    rows = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    table = write_keyed(rows, shared_dir(spark, "orders"), ["o_orderkey"], width=500)
+    key = F.col("o_orderkey")
+    source = rows.where((key < 1200) & (key % 3 == 0)).select(
+        F.when(key % 2 == 0, key).otherwise(key + 10_000_000).alias("o_orderkey"), F.lit("M").alias("o_orderstatus"),
+        (F.col("o_totalprice") + 1).alias("o_totalprice"), "o_orderpriority")
+    merge_stored(table, source, "replace")
+    update_stored(table, spark, {"o_orderkey": "gte:2000", "o_totalprice": "lt:5000"}, {"o_orderpriority": "low"})
+    delete_stored(table, spark, {"o_orderstatus": "eq:F", "o_orderkey": "lt:3000"})
+    return table.read(spark).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderpriority")
+
+
 # --- findings ----------------------------------------------------------------------------
 
 def _mapping(spark, sf):
@@ -512,12 +581,12 @@ def top_findings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_table, query_documents, query_documents_without, update_document_first, delete_documents,
+    query_table, query_table_times, query_table_pages, query_documents, query_documents_without, update_document_first, delete_documents,
     find_document, column_rules, allowed_columns, merge_rules,
     merge_rules_refused, merge_rows_ignore, merge_rows_replace, merge_rows_error, cast_columns,
     update_where, update_first, delete_where, delete_cascade, delete_cascade_parents,
     clear_counts, customer_quality, customer_quality_valid, mask_secrets, active_customers,
-    usage_totals, usage_by_path, usage_latest, limit_check, set_limits, usage_trailing,
+    change_stored_rows, usage_totals, usage_by_path, usage_latest, limit_check, set_limits, usage_trailing,
     usage_windows, usage_alerts, read_semgrep, read_bandit, read_pip_audit, read_pnpm_audit,
     read_njsscan, read_trufflehog, read_trivy, findings_totals, tag_weaknesses,
     categorise_findings, uncategorised_findings, severity_rollup_categories,
@@ -630,7 +699,14 @@ _UP = "upper(severity)"
 _EVENT_DOCS = """docs AS (SELECT lpad(CAST(event_id AS STRING), 12, '0') AS _id,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS t FROM events)"""
 
+_TIMES = {"et": """SELECT event_id, event_type, CASE WHEN event_id % 11 <> 0 THEN strftime(ts, '%H:%M:%S') END AS tm FROM events"""}
 ORACLE = {
+    "query_table_times": with_views("", _TIMES, """
+        SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN tm END AS "at", CASE WHEN event_id % 13 = 0 THEN 'at' ELSE '' END AS errors
+        FROM et WHERE CAST(tm AS TIME) >= TIME '08:30:00' AND CAST(tm AS TIME) < TIME '17:05:09'"""),
+    "query_table_pages": with_views("", _TIMES, """
+        SELECT event_id, tm AS "at", CAST(ceil(row_number() OVER (ORDER BY tm DESC NULLS FIRST, event_id) /
+               ((SELECT (count(*) + 5) // 6 FROM events) + 1)) AS INT) AS page FROM et WHERE event_type >= 'b'"""),
     "query_table": """
         SELECT o_orderkey, o_custkey, o_totalprice FROM orders
         WHERE o_totalprice >= 1000.5 AND o_orderdate < TIMESTAMP '1998-06-01'
@@ -743,14 +819,49 @@ ORACLE = {
     "set_limits": with_views("fx_usages", _LIMITS, """
         SELECT period, path, CASE WHEN path IS NULL OR length(path) % 2 = 0 THEN 1.5
                                   ELSE max_cost END AS max_cost, max_tokens FROM lim"""),
+    "change_stored_rows": """
+        WITH src AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + 10000000 END AS o_orderkey,
+                            'M' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderpriority
+                     FROM orders WHERE o_orderkey < 1200 AND o_orderkey % 3 = 0),
+        merged AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+                   WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src) UNION ALL SELECT * FROM src)
+        SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice,
+               CASE WHEN o_orderkey >= 2000 AND o_totalprice < 5000 THEN 'low' ELSE o_orderpriority END AS o_orderpriority
+        FROM merged WHERE NOT (o_orderstatus = 'F' AND o_orderkey < 3000)""",
     "usage_trailing": with_views("fx_usages", {}, _trailing()),
     "usage_windows": with_views("fx_usages", {}, """
         SELECT * FROM (
             SELECT date_trunc('day', timestamp) AS window_start,
                    date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end, path,
                    CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost
-            FROM fx_usages GROUP BY 1, 2, 3)
-        WHERE window_end <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM fx_usages)"""),
+            FROM fx_usages GROUP BY 1, 2, 3)"""),
+    "usage_alerts": with_views("fx_usages", {**_LIMITS, "al": """
+        SELECT period, path, max_cost, max_tokens FROM lim WHERE period = 'monthly'
+        UNION ALL SELECT 'daily', path, NULL, CAST(floor(avg(t)) AS BIGINT) FROM
+            (SELECT path, CAST(timestamp AS DATE) AS d, sum(tokens) AS t FROM fx_usages GROUP BY 1, 2) GROUP BY path
+        UNION ALL SELECT 'minute', NULL, NULL, CAST(max(tokens) * 2 AS BIGINT) FROM fx_usages""",
+        # Minute sums per scope; each comes in at the minute's end and leaves a period later.
+        "ms": """
+        SELECT path, date_trunc('minute', timestamp) + INTERVAL 1 MINUTE AS m, sum(tokens) AS t,
+               sum(CAST(round(cost * 1000000) AS BIGINT)) AS u FROM fx_usages GROUP BY 1, 2
+        UNION ALL SELECT NULL, date_trunc('minute', timestamp) + INTERVAL 1 MINUTE, sum(tokens),
+               sum(CAST(round(cost * 1000000) AS BIGINT)) FROM fx_usages GROUP BY 2""",
+        "moves": """
+        SELECT l.period, l.path, l.max_cost, l.max_tokens, x.tm, x.sign * ms.t AS t, x.sign * ms.u AS u
+        FROM al l JOIN ms ON ms.path IS NOT DISTINCT FROM l.path
+        JOIN (VALUES ('minute', INTERVAL 1 MINUTE), ('daily', INTERVAL 1 DAY), ('monthly', INTERVAL 30 DAY)) s(period, span)
+             ON s.period = l.period,
+        LATERAL (SELECT ms.m AS tm, 1 AS sign UNION ALL SELECT ms.m + s.span, -1) x""",
+        "sums": """
+        SELECT period, path, max_cost, max_tokens, tm, sum(sum(t)) OVER w AS t, sum(sum(u)) OVER w AS u
+        FROM moves GROUP BY 1, 2, 3, 4, 5
+        WINDOW w AS (PARTITION BY period, path ORDER BY tm RANGE UNBOUNDED PRECEDING)""",
+        "judged": """
+        SELECT *, coalesce(t >= max_tokens, false) OR coalesce(u / 1000000.0 >= max_cost, false) AS over FROM sums"""}, """
+        SELECT path, path IS NULL AS overall, period, tm AS "at", CAST(t AS BIGINT) AS tokens,
+               round(u / 1000000.0, 4) AS cost, over
+        FROM (SELECT *, lag(over, 1, false) OVER (PARTITION BY period, path ORDER BY tm) AS was FROM judged)
+        WHERE over <> was"""),
     "read_semgrep": with_views("fx_findings", {**_MAPPING, "c": f"""
         SELECT finding_id, source, severity, message, list_sort(list_distinct(list_concat(
             CASE WHEN finding_id % 4 = 0 THEN ['CWE-20'] ELSE [] END,

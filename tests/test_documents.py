@@ -12,7 +12,9 @@ from orderweave.sources import catalog as cat
 from orderweave.sources import files as fl
 from orderweave.sources import pages as pg
 from orderweave.sources import sinks
-from orderweave.streaming.intake import document_files, start_intake
+from orderweave.sources.interchanges import read_interchanges
+from orderweave.streaming.intake import document_files, first_deliveries, start_intake
+from orderweave.streaming.runs import run_to_parquet, session_settings
 
 AS_OF = datetime(2026, 6, 10, 9, 15, 30)
 TEXT = """Kopf 010 AE-2024-034 ist hier keine Position
@@ -230,7 +232,7 @@ def test_a_file_of_several_interchanges(spark, order_tables):
     files = spark.createDataFrame([("f", good + good.replace("UNOA:2", "UNOB:2") + good)], "file string, text string")
     catalog = spark.createDataFrame([("EDI-034", "A")], "internal_code string, status string")
     segments = interchange.edi_scan(files)
-    _, verdicts = interchange.edi_validate(segments, catalog, date(2026, 6, 10))
+    _, verdicts = interchange.edi_validate(files, catalog, date(2026, 6, 10))
     assert sorted((r["interchange_no"], r["message_no"], r["rules"]) for r in verdicts.collect()) == [
         (1, 1, []), (2, 1, ["R1"]), (3, 1, [])]
     assert interchange.edi_lines(segments).count() == 6
@@ -250,8 +252,7 @@ def test_interchange_rules(spark):
         [(k, good if a is None else good.replace(a, b)) for k, (a, b) in changes.items()]
         + [("none", "rubbish")], "file string, text string")
     catalog = spark.createDataFrame([("EDI-034", "A")], "internal_code string, status string")
-    _, verdicts = interchange.edi_validate(interchange.edi_scan(files), catalog,
-                                           date(2026, 6, 10))
+    _, verdicts = interchange.edi_validate(files, catalog, date(2026, 6, 10))
     got = {r["file"]: "|".join(r["rules"]) or "good" for r in verdicts.collect()}
     for name in changes:
         assert got[name] == name
@@ -275,6 +276,66 @@ def test_export_writes_once(spark, order_tables, tmp_path):
     assert {r["order_id"] for r in rest.collect()} == {12345678901}
 
 
+def test_export_counts_only_when_whole(spark, order_tables, tmp_path):
+    heads, lines, catalog = order_tables
+    out = str(tmp_path / "out")
+    one = heads.where("id = 7")
+    # A run that broke before its manifest: its folders are there, but count for nothing.
+    sinks.export_orders(heads, lines, catalog, out, AS_OF)
+    (tmp_path / "out" / "manifest").mkdir()
+    assert sinks.finished_exports(spark, out).count() == 0
+    first = sinks.export_batch(one, lines.where("order_id = 7"), catalog, out, AS_OF, "1")
+    assert [(r["order_id"], r["batch"]) for r in first.collect()] == [(7, "1")]
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.txt")}
+    again = sinks.export_batch(heads, lines, catalog, out, AS_OF, "1")
+    assert again.count() == 1
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.txt")} == files
+    both = sinks.export_batch(heads, lines, catalog, out, AS_OF, "2")
+    assert sorted((r["order_id"], r["batch"]) for r in both.collect()) == [(7, "1"), (12345678901, "2")]
+    assert not list((tmp_path / "out" / "staging").glob("*"))
+    merged = sinks.merge_status(heads.withColumn("status", F.lit("new")), both)
+    assert sinks.merge_status(merged, both).collect() == merged.collect()
+    assert {r["id"]: r["status"] for r in merged.collect()} == {
+        r["id"]: "edifact_generated" if r["id"] in (7, 12345678901) else "new" for r in heads.collect()}
+
+
+def test_bulk_files_are_read_in_pieces(spark, tmp_path):
+    """Several blocks per file; header letters at the end of an element, released terminators, line breaks."""
+    one = "UNB+UNOA:2+A+4012345123456+260610:1200+R{0}'\nUNH+R{0}A+ORDERS:D:96A:UN'\n{1}UNT+3+R{0}A'\nUNZ+1+R{0}'\n"
+    odd = ["FTX+HANSUNB+x'\n", "FTX+it?'UNB+y'\n", "FTX+done??'\n", "", "FTX+a?+UNB+UNB+z'"]
+    texts = [one.format(i, odd[i % 5] * (i % 3)) for i in range(300)]
+    (tmp_path / "a.edi").write_text("".join(texts[:200]))
+    (tmp_path / "b.edi").write_text(" rubbish'\n" + "".join(t.replace("\n", "") for t in texts[200:]))
+    with session_settings(spark, {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}):
+        rows = read_interchanges(spark, str(tmp_path)).collect()
+    got = {(r["file"][-5:], r["interchange_no"]): r["text"] for r in rows}
+    assert len(got) == len(rows) == 301
+    assert [got["a.edi", i + 1] for i in range(200)] == texts[:200]
+    assert [got["b.edi", i + 1] for i in range(100)] == [t.replace("\n", "") for t in texts[200:]]
+    assert got["b.edi", 0].strip() == "rubbish'"
+    segments = interchange.edi_scan(read_interchanges(spark, str(tmp_path)))
+    assert segments.where("tag = 'UNB'").count() == 300
+
+
+def test_interchange_parts_are_numbered_in_their_row(spark):
+    """Segments before the first header, after the last one, several messages, lines after the summary."""
+    text = ("X+1'UNB+a'UNH+1'LIN+1'QTY+21:1'LIN+2'UNS+S'LIN+9'UNT+1'UNH+2'BGM+220'UNT+2'UNZ+2'"
+            "UNB+b'UNZ+0' ' tail")
+    rows = interchange.edi_scan(spark.createDataFrame([("f", text)], "file string, text string")).orderBy("seq").collect()
+    assert [(r["seq"], r["tag"], r["interchange_no"], r["message_no"], r["line_index"]) for r in rows] == [
+        (1, "X", 0, 0, None), (2, "UNB", 1, 0, None), (3, "UNH", 1, 1, None), (4, "LIN", 1, 1, 1), (5, "QTY", 1, 1, 1),
+        (6, "LIN", 1, 1, 2), (7, "UNS", 1, 1, None), (8, "LIN", 1, 1, None), (9, "UNT", 1, 1, None), (10, "UNH", 1, 2, None),
+        (11, "BGM", 1, 2, None), (12, "UNT", 1, 2, None), (13, "UNZ", 1, 2, None), (14, "UNB", 2, 0, None),
+        (15, "UNZ", 2, 0, None), (16, "tail", 2, 0, None)]
+    assert interchange.edi_scan(spark.createDataFrame([("f", None), ("g", "")], "file string, text string")).count() == 0
+
+
+def test_scan_and_rules_shuffle_no_segments(spark):
+    files = spark.createDataFrame([("f", MESSAGE)], "file string, text string")
+    plan = interchange.edi_scan(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_catalog_sources(spark, tmp_path):
     head = ",".join(f.name for f in cat.CSV_SCHEMA)
     (tmp_path / "c.csv").write_text(
@@ -367,3 +428,47 @@ def test_intake_counts_each_file_once(spark, tmp_path):
     assert tiers == {"exact", "dimension", "none"}
     (tmp_path / "in" / "tab" / "three.txt").write_text(TEXT)
     assert go().count() == 9
+
+
+def test_the_same_text_counts_once_under_any_name(spark, tmp_path):
+    customers = spark.createDataFrame([("tab", "table_text", None), ("two", "table_text", None)],
+                                      "code string, extraction_strategy string, api_key string")
+    catalog = spark.createDataFrame([], "internal_code string, profile_name string, alloy string, width_mm double, "
+                                        "height_mm double, wall_thickness_mm double, status string")
+    aliases = spark.createDataFrame([], "customer_code string, customer_part_code string, internal_code string")
+    docs = first_deliveries(document_files(spark, str(tmp_path / "in")))
+    for files, orders_now in (([("tab", "a.txt", TEXT)], 1), ([("tab", "b.txt", TEXT), ("two", "a.txt", TEXT), ("tab", "c.txt", TEXT + " ")], 3)):
+        for customer, name, body in files:
+            (tmp_path / "in" / customer).mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / customer / name).write_text(body)
+        start_intake(docs, customers, catalog, aliases, str(tmp_path / "out"), str(tmp_path / "state"), every=None).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out" / "orders")).select("doc_id").distinct().count() == orders_now
+
+
+def test_old_texts_are_forgotten_on_request(spark, tmp_path):
+    rows = [("a", "c", "same", datetime(2026, 1, 1)), ("b", "c", "same", datetime(2026, 1, 2)), ("d", "c", None, datetime(2026, 1, 2)),
+            ("e", "c", None, datetime(2026, 1, 2)), ("f", "c", "other", datetime(2026, 5, 1)), ("g", "c", "same", datetime(2026, 5, 2))]
+    schema = "doc_id string, customer string, text string, arrived timestamp"
+    (tmp_path / "in").mkdir()
+    for chunk in (rows[:4], rows[4:5], rows[5:]):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = run_to_parquet(first_deliveries(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "30 days"),
+                             str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r["doc_id"] for r in out.collect()}
+    assert len(got & {"a", "b"}) == 1 and got - {"a", "b"} == {"d", "e", "f", "g"}
+
+
+def test_a_chain_of_versions(spark):
+    versions = [("a", v) for v in (1, 2, 4, 5, 6)] + [("b", 3)]
+    lines = [("a", 1, "1", 1.0, None), ("a", 1, "2", 1.0, None), ("a", 2, "1", 2.0, None), ("a", 5, "1", 2.0, None),
+             ("a", 6, "1", 2.0, None), ("b", 3, "1", None, None)]
+    args = (spark.createDataFrame(versions, "order_ref string, version int"),
+            spark.createDataFrame(lines, "order_ref string, version int, line_no string, quantity double, delivery_date date"))
+    changes, verdicts = checks.order_change_chain(*args)
+    assert sorted((r["order_ref"], r["version"], r["before"], r["verdict"]) for r in verdicts.fillna(0).collect()) == [
+        ("a", 1, 0, "new_order"), ("a", 2, 1, "possible_change"), ("a", 4, 2, "order_cancelled"),
+        ("a", 5, 4, "order_reopened"), ("a", 6, 5, "unchanged"), ("b", 3, 0, "new_order")]
+    assert sorted((r["version"], r["line_no"], r["change"]) for r in changes.where("order_ref = 'a'").collect()) == [
+        (1, "1", "line_added"), (1, "2", "line_added"), (2, "1", "quantity_changed"), (2, "2", "line_cancelled"),
+        (4, "1", "line_cancelled"), (5, "1", "line_added")]
+    assert sorted(tuple(r)[:3] for r in checks.latest_lines(*args).collect()) == [("a", 6, "1"), ("b", 3, "1")]

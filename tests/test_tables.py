@@ -11,8 +11,9 @@ from orderweave.operators import findings as fi
 from orderweave.operators import tables, usage
 from orderweave.session import shared_dir
 from orderweave.sources import reports
-from orderweave.streaming.runs import run_to_parquet, stream_parquet
-from orderweave.streaming.usage import usage_alerts, usage_windows
+from orderweave.sources.keyed import delete_stored, merge_stored, update_stored, write_keyed
+from orderweave.streaming.runs import run_to_end, run_to_parquet, session_settings, tick, tick_stream
+from orderweave.streaming.usage import ROCKSDB, usage_alerts, usage_windows
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +118,101 @@ def test_column_rules(spark, people):
             tables.column_rules(people, table, rules, names)
 
 
+@pytest.fixture
+def times(spark):
+    """Sessions know the type of times of day only if they are told so."""
+    with session_settings(spark, {"spark.sql.timeType.enabled": "true"}):
+        yield
+
+
+@pytest.mark.parametrize("order_by", [None, "score", "score:desc", "at:desc"])
+def test_pages_by_cursor_give_the_table(spark, times, order_by):
+    rows = [(i, None if i % 5 == 0 else float(i % 3), None if i % 4 == 0 else f"{i % 24:02d}:{i % 60:02d}:07", f"n{i % 2}") for i in range(23)]
+    said = F.col("said").alias("said", metadata={tables.TIME_OF_DAY: True})
+    df = spark.createDataFrame(rows, "id bigint, score double, said string, name string").select(
+        "id", "score", said, "name", F.to_time("said").alias("at"))
+    want = [r["id"] for r in df.orderBy(*tables.sort_columns(order_by, ["id"])).collect()]
+    got, after = [], None
+    while after or not got:
+        page = tables.query_table(df, None, None, order_by, 10, 0, ["id"], None, after)
+        got += [r["id"] for r in page.orderBy(*tables.sort_columns(order_by, ["id"])).collect()]
+        after = tables.next_cursor(page, order_by, ["id"], 10)
+    assert got == want
+
+
+def test_times_of_day(spark, times):
+    df = spark.createDataFrame([(1, "09:05:00"), (2, "23:59:59"), (3, None)], "id int, said string").select(
+        "id", F.col("said").alias("said", metadata={tables.TIME_OF_DAY: True}), F.to_time("said").alias("at"))
+    for column in ("said", "at"):
+        assert [r["id"] for r in df.where(tables.filter_column(df, {column: "lt:9:6:0"})).collect()] == [1]
+        with pytest.raises(ValueError):
+            tables.filter_column(df, {column: "eq:24:00:00"})
+    read = tables.cast_columns(spark.createDataFrame([("1", "7:5:3", "7:5:3"), ("2", "25:00:00", "noon")], "id string, said string, at string"),
+                               df.schema).orderBy("id").collect()
+    assert [(r["said"], str(r["at"]), r["cast_errors"]) for r in read] == [
+        ("07:05:03", "07:05:03", []), (None, "None", ["said", "at"])]
+    table, changed = tables.update_where(df, {"id": "eq:3"}, {"at": "1:2:3", "said": "1:2:3"})
+    assert [(r["said"], str(r["at"])) for r in changed.collect()] == [("01:02:03", "01:02:03")]
+    assert table.count() == 3
+
+
+def files_of(path):
+    return {p.relative_to(path): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def rewritten(before, path):
+    """The parts whose files are not what they were."""
+    now = files_of(path)
+    return {str(file.parent).split("=")[1] for file, _ in set(before.items()) ^ set(now.items())}
+
+
+@pytest.mark.parametrize("width,parts", [(10, 1), (None, 8)])
+def test_changes_rewrite_only_what_they_touch(spark, tmp_path, width, parts):
+    rows = [(i, f"n{i}", i % 4) for i in range(100)] + [(None, "no key", 1)]
+    path = tmp_path / "t"
+    table = write_keyed(spark.createDataFrame(rows, "id bigint, name string, kind int"), str(path), ["id"], width, parts)
+    want = {(r[0], r[1]): r for r in rows}
+
+    def check():
+        assert sorted(map(str, map(tuple, table.read(spark).collect()))) == sorted(map(str, want.values()))
+
+    check()
+    before = files_of(path)
+    source = spark.createDataFrame([(12, "new", 9), (203, "more", 9), (12, "newer", 9)], "id bigint, name string, kind int")
+    touched, _ = merge_stored(table, source, "replace")
+    want = {k: v for k, v in want.items() if k[0] != 12} | {(12, "new"): (12, "new", 9), (203, "more"): (203, "more", 9)}
+    check()
+    assert len(rewritten(before, path)) == touched <= 2
+    before = files_of(path)
+    touched, changed = update_stored(table, spark, {"id": "gte:95", "kind": "lt:2"}, {"name": "u"})
+    assert sorted(r["id"] for r in changed.collect()) == [96, 97]
+    want = {k: (v[0], "u", v[2]) if v[0] in (96, 97) else v for k, v in want.items()}
+    check()
+    assert len(rewritten(before, path)) == touched <= 2
+    before = files_of(path)
+    touched, gone = delete_stored(table, spark, {"id": "lt:20"})
+    assert gone.count() == 20
+    want = {k: v for k, v in want.items() if v[0] is None or v[0] >= 20}
+    check()
+    if width:
+        # Both parts are empty now and gone; nothing else was written.
+        assert touched == 2 and rewritten(before, path) == {"0", "1"}
+    before = files_of(path)
+    assert delete_stored(table, spark, {"id": "eq:-5"})[0] == 0
+    assert files_of(path) == before
+
+
+def test_key_filters_leave_parts_out(spark, tmp_path):
+    table = write_keyed(spark.range(1000).selectExpr("id", "id % 7 AS kind"), str(tmp_path / "t"), ["id"], 100)
+    assert len(table.read(spark, table.key_range(250, 320)).inputFiles()) <= len(table.read(spark).inputFiles())
+    plan = table.read(spark, table.key_range(250, 320))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part_no" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    with pytest.raises(ValueError):
+        write_keyed(spark.range(3).selectExpr("cast(id AS string) AS id"), str(tmp_path / "s"), ["id"], 100)
+    with pytest.raises(ValueError):
+        update_stored(table, spark, {"id": "eq:1"}, {"id": "2"})
+
+
 def test_customer_rules(spark):
     rows = [("ok-1", "n", "table_text", None), ("A", "", "x", None),
             ("k1", "n", "api_model", ""), ("k2", "n", "api_model", " https://x")]
@@ -144,9 +240,9 @@ USAGE = "id bigint, path string, tokens int, cost double, timestamp timestamp"
 def test_trailing_equals_brute_force(spark):
     rows = usage_rows() + [(9_000, "hot", 1, 0.5, START), (9_001, "hot", 2, 0.25, START)]
     spans = {"minute": 60, "daily": 86_400, "monthly": 2_592_000}
-    for bucket in (60, 7):
+    for chunk_rows in (20_000, 60, 7):
         got = {r["id"]: r for r in usage.usage_trailing(
-            spark.createDataFrame(rows, USAGE), bucket).collect()}
+            spark.createDataFrame(rows, USAGE), chunk_rows).collect()}
         for i, path, _, _, at in rows[::37] + rows[-2:]:
             for period, seconds in spans.items():
                 near = [r for r in rows if at - timedelta(seconds=seconds) <= r[4] <= at]
@@ -170,43 +266,75 @@ def test_limit_verdicts(spark):
         use, tight, START + timedelta(hours=1)).collect())
 
 
+def crossings(rows, limits):
+    """Every instant at which a trailing sum of whole minutes goes over its limit or comes back."""
+    spans, wanted = {"minute": 60, "daily": 86_400, "monthly": 2_592_000}, set()
+    for period, path, overall, column, limit in limits:
+        minutes = {}
+        for _, name, tokens, cost, at in rows:
+            if overall or name == path:
+                close = at.replace(second=0, microsecond=0) + timedelta(minutes=1)
+                minutes[close] = minutes.get(close, 0) + (tokens, cost)[column]
+        span, over = timedelta(seconds=spans[period]), False
+        for at in sorted({t for close in minutes for t in (close, close + span)}):
+            total = sum(v for t, v in minutes.items() if at - span < t <= at)
+            if (total >= limit) != over:
+                over = not over
+                wanted.add((path, overall, period, at, over))
+    return wanted
+
+
 def test_usage_streams(spark, tmp_path):
+    """In two batches, with a path called like the old name of the overall scope and one without name."""
     rows = sorted(usage_rows(), key=lambda r: r[4])
-    end = [(99_999, "late", 0, 0.0, START + timedelta(days=3))]
-    for part, chunk in enumerate((rows[:200], rows[200:], end)):
-        spark.createDataFrame(chunk, USAGE).coalesce(1).write.parquet(f"{tmp_path}/s{part}")
-    path = f"{tmp_path}/all"
-    spark.read.parquet(*[f"{tmp_path}/s{i}" for i in range(3)]).coalesce(1).write.parquet(path)
-    sums = run_to_parquet(usage_windows(stream_parquet(spark, path), "1 hour"),
-                          shared_dir(spark, "w"), shared_dir(spark, "ws"))
-    assert sums.where("path <> 'late'").agg(F.sum("tokens")).first()[0] == sum(
-        r[2] for r in rows)
+    rows = [(i, {"p1": "*", "p2": None}.get(path, path), tokens, cost, at) for i, path, tokens, cost, at in rows]
+    source, ticks = f"{tmp_path}/usages", f"{tmp_path}/ticks"
+    tick(spark, ticks)
+    spark.createDataFrame(rows[:200], USAGE).coalesce(1).write.parquet(source)
     limits = spark.createDataFrame(
-        [("daily", "hot", None, 900), ("monthly", None, 500.0, None)],
+        [("daily", "hot", None, 900), ("monthly", None, 500.0, None), ("minute", "*", None, 10), ("daily", "*", 3.0, 10**6)],
         "period string, path string, max_cost double, max_tokens bigint")
     limits.write.parquet(f"{tmp_path}/limits")
-    out = run_to_parquet(usage_alerts(stream_parquet(spark, path),
-                                      spark.read.parquet(f"{tmp_path}/limits")),
-                         shared_dir(spark, "a"), shared_dir(spark, "as")).collect()
-    minutes = {}
-    for _, name, tokens, cost, at in rows:
-        close = at.replace(second=0, microsecond=0) + timedelta(minutes=1)
-        for scope in (name, "*"):
-            t, c = minutes.get((scope, close), (0, 0.0))
-            minutes[(scope, close)] = (t + tokens, c + cost)
-    wanted = set()
-    for scope, period, span, column, limit in (("hot", "daily", 86_400, 0, 900),
-                                               ("*", "monthly", 2_592_000, 1, 500.0)):
-        over = False
-        closes = sorted(t for s, t in minutes if s == scope)
-        for close in closes:
-            total = sum(v[column] for (s, t), v in minutes.items()
-                        if s == scope and close - timedelta(seconds=span) < t <= close)
-            if (total >= limit) != over:
-                over = not over
-                wanted.add((scope, period, close, over))
-    assert {(r["scope"], r["period"], r["window_end"], r["over"]) for r in out} == wanted
-    assert wanted
+    stream = spark.readStream.schema(USAGE).parquet(source)
+    found = usage_alerts(stream, spark.read.parquet(f"{tmp_path}/limits"), ticks=tick_stream(spark, ticks))
+    sums = usage_windows(stream, "1 hour", ticks=tick_stream(spark, ticks))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for query, name, settings in ((found, "alerts", ROCKSDB), (sums, "sums", None)):
+        run_to_parquet(query, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state", settings)
+    spark.createDataFrame(rows[200:], USAGE).coalesce(1).write.mode("append").parquet(source)
+    last = START + timedelta(days=90)
+    out = run_to_parquet(found, f"{tmp_path}/alerts", f"{tmp_path}/alerts-state", ROCKSDB)
+    whole = run_to_end(sums, ticks, last, f"{tmp_path}/sums", f"{tmp_path}/sums-state")
+    out = run_to_end(found, ticks, last, f"{tmp_path}/alerts", f"{tmp_path}/alerts-state", ROCKSDB)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    assert whole.agg(F.sum("tokens")).first()[0] == sum(r[2] for r in rows)
+    wanted = crossings(rows, [("daily", "hot", False, 0, 900), ("monthly", None, True, 1, 500.0), ("minute", "*", False, 0, 10),
+                              ("daily", "*", False, 1, 3.0)])
+    got = [(r["path"], r["overall"], r["period"], r["at"], r["over"]) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert len(wanted) > 10
+
+
+def test_a_limit_is_left_without_new_usage(spark, tmp_path):
+    """Only time passes for one path; another one's usage moves the watermark, so a timer fires."""
+    source = f"{tmp_path}/usages"
+    (tmp_path / "usages").mkdir()
+    limits = spark.createDataFrame([("minute", "a", None, 5), ("daily", "a", None, 5)],
+                                   "period string, path string, max_cost double, max_tokens bigint")
+    limits.write.parquet(f"{tmp_path}/limits")
+    found = usage_alerts(spark.readStream.schema(USAGE).parquet(source), spark.read.parquet(f"{tmp_path}/limits"))
+    seen = []
+    for number, (path, at) in enumerate([("a", START), ("b", START + timedelta(hours=1)), ("b", START + timedelta(days=2)),
+                                         ("b", START + timedelta(days=2, hours=1))]):
+        spark.createDataFrame([(number, path, 9, 1.0, at)], USAGE).coalesce(1).write.mode("append").parquet(source)
+        out = run_to_parquet(found, f"{tmp_path}/out", f"{tmp_path}/state", ROCKSDB)
+        seen.append(sorted((r["period"], r["at"], r["over"]) for r in out.collect()))
+    minute = timedelta(minutes=1)
+    up = [("daily", START + minute, True), ("minute", START + minute, True)]
+    assert seen[0] == []
+    assert seen[1] == sorted([*up, ("minute", START + 2 * minute, False)])
+    assert seen[2] == sorted([*seen[1], ("daily", START + minute + timedelta(days=1), False)])
+    assert seen[3] == seen[2]
 
 
 MAPPING = """{"owasp_top_10": {"A03:2021": {"name": "Injection", "description": "d",
