@@ -231,8 +231,7 @@ def _routed(spark, sf):
 
 
 def route_extraction(spark, sf):
-    return _routed(spark, sf)[1].groupBy("doc_id", "trusted").agg(
-        F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"))
+    return _routed(spark, sf)[1].select("doc_id", "trusted", "line_no", "extracted_code", "quantity")
 
 
 def route_extraction_refused(spark, sf):
@@ -244,12 +243,14 @@ def provenance_log(spark, sf):
                                          "order_date").withColumn("source", F.lit("text_parser"))
     lines = fx.lines(spark, sf).select("order_id", "line_no", "extracted_code", "quantity")
     log = sinks.provenance_log(orders, lines, AS_OF)
-    return log.select(
-        "order_id", "customer", "source",
-        F.get_json_object("raw_payload", "$.order_ref").alias("order_ref"),
-        F.get_json_object("raw_payload", "$.lines[0].line_no").alias("first_line"),
-        F.coalesce(F.json_array_length(F.get_json_object("raw_payload", "$.lines")), F.lit(0))
-        .cast("bigint").alias("n"))
+    # The whole payload, read back from its JSON text.
+    payload = F.from_json("raw_payload", "customer string, order_ref string, order_date date, lines array<struct<"
+                          "line_no: string, extracted_code: string, quantity: double>>").alias("p")
+    return log.select("order_id", "customer", "source", payload).select(
+        "order_id", "customer", "source", F.col("p.customer").alias("said_customer"), "p.order_ref", "p.order_date",
+        F.array_join(F.transform("p.lines", lambda r: F.concat_ws(
+            ":", r["line_no"], F.coalesce(r["extracted_code"], F.lit("-")),
+            F.coalesce(r["quantity"].cast("decimal(20,2)").cast("string"), F.lit("-")))), ",").alias("lines"))
 
 
 # --- interchange -----------------------------------------------------------------------------
@@ -268,8 +269,8 @@ def _edi_files(spark, sf):
 
 def edi_scan(spark, sf):
     return interchange.edi_scan(_edi_files(spark, sf)).select(
-        "file", F.col("seq").cast("bigint").alias("seq"), "tag", "message_no",
-        F.size("fields").cast("bigint").alias("elements"))
+        "file", F.col("seq").cast("bigint").alias("seq"), "tag", "interchange_no", "message_no", "line_index",
+        F.array_join(F.transform("fields", lambda e: F.array_join(e, ":")), "+").alias("segment"))
 
 
 def edi_lines(spark, sf):
@@ -642,28 +643,35 @@ ORACLE = {
         UNION ALL SELECT 'quantity', 'many', count(*) FROM raw WHERE q = 1
                   HAVING count(*) > 0"""),
     "route_extraction": with_views("fx_lines fx_customers", {**_DRAWN, **_ANSWERED}, """
-        SELECT p.order_id AS doc_id, true AS trusted, count(*) AS n,
-               round(sum(p.quantity), 2) AS quantity
+        SELECT p.order_id AS doc_id, true AS trusted, no AS line_no, internal_code AS extracted_code, p.quantity
         FROM parsed p JOIN fx_customers c ON c.code = p.customer
-        WHERE c.extraction_strategy = 'table_text' GROUP BY 1
-        UNION ALL SELECT a.order_id, false, count(*), round(sum(a.quantity), 2)
+        WHERE c.extraction_strategy = 'table_text'
+        UNION ALL SELECT a.order_id, false, CASE WHEN a.p % 4 <> 0 THEN a.line_no
+                   ELSE lpad(CAST(a.k * 10 AS STRING), 3, '0') END, a.extracted_code, a.quantity
         FROM ans a JOIN fx_lines l ON l.order_id = a.order_id AND l.line_no = a.line_no
         JOIN fx_customers c ON c.code = l.customer
-        WHERE c.extraction_strategy <> 'table_text' AND a.order_id % 6 <> 5 GROUP BY 1"""),
+        WHERE c.extraction_strategy <> 'table_text' AND a.order_id % 6 <> 5"""),
     "route_extraction_refused": with_views("fx_lines fx_customers", {}, """
         SELECT DISTINCT l.order_id AS doc_id, c.extraction_strategy, 'no_answer' AS reason
         FROM fx_lines l JOIN fx_customers c ON c.code = l.customer
         WHERE c.extraction_strategy <> 'table_text' AND l.order_id % 6 = 5"""),
     "provenance_log": with_views("fx_lines fx_orders", {}, """
-        SELECT o.id AS order_id, o.customer, 'text_parser' AS source, o.order_ref,
-               min(l.line_no) AS first_line, count(l.order_id) AS n
-        FROM fx_orders o LEFT JOIN fx_lines l ON l.order_id = o.id GROUP BY 1, 2, 4"""),
+        SELECT o.id AS order_id, o.customer, 'text_parser' AS source, o.customer AS said_customer, o.order_ref, o.order_date,
+               coalesce(string_agg(concat(l.line_no, ':', coalesce(l.extracted_code, '-'), ':',
+                   coalesce(CAST(CAST(l.quantity AS DECIMAL(20,2)) AS STRING), '-')), ',' ORDER BY l.line_no)
+                   FILTER (WHERE l.line_no IS NOT NULL), '') AS lines
+        FROM fx_orders o LEFT JOIN fx_lines l ON l.order_id = o.id GROUP BY o.id, o.customer, o.order_ref, o.order_date"""),
     "edi_scan": with_views("fx_lines fx_orders", {**oq._MESSAGE, "rows_": """
         SELECT order_id AS file, unnest(string_split(rtrim(edi_text, chr(10)), chr(10))) AS s,
                generate_subscripts(string_split(rtrim(edi_text, chr(10)), chr(10)), 1) AS seq
         FROM full_msg"""}, """
-        SELECT file, seq, left(s, 3) AS tag, CASE WHEN seq = 1 THEN 0 ELSE 1 END AS message_no,
-               len(string_split(s, '+')) AS elements FROM rows_"""),
+        SELECT file, seq, left(s, 3) AS tag, 1 AS interchange_no, CASE WHEN seq = 1 THEN 0 ELSE 1 END AS message_no,
+               CASE WHEN NOT ended AND k > 0 THEN k END AS line_index,
+               -- Without the terminator and the signs that release others.
+               regexp_replace(left(s, length(s) - 1), '[?](.)', '\\1', 'g') AS segment
+        FROM (SELECT *, CAST(sum(CASE WHEN left(s, 3) = 'LIN' THEN 1 ELSE 0 END) OVER w AS INT) AS k,
+                     max(left(s, 3) IN ('UNS', 'UNZ')) OVER w AS ended
+              FROM rows_ WINDOW w AS (PARTITION BY file ORDER BY seq))"""),
     "edi_lines": with_views("fx_lines fx_orders", _EDI, """
         SELECT s.order_id AS file, s.k AS line_index, s.code AS pia_code, s.description,
                s.q AS quantity, coalesce(s.unit, 'PCE') AS unit,

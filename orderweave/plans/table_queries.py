@@ -80,8 +80,10 @@ def _event_documents(spark, sf):
 
 
 def query_documents_without(spark, sf):
-    page = tables.query_documents(_event_documents(spark, sf), {"k": {"$ne": 5}}, {"secret": 0}, 300)
-    return page.select("_id", F.to_json("doc").alias("doc"))
+    """The projection that leaves fields out, over all documents; ``query_documents`` pages."""
+    docs = _event_documents(spark, sf)
+    found = docs.where(tables.document_filter(docs, {"k": {"$ne": 5}}))
+    return found.select(*tables.document_projection(found, {"secret": 0})).select("_id", F.to_json("doc").alias("doc"))
 
 
 def update_document_first(spark, sf):
@@ -576,8 +578,8 @@ def severity_rollup_ranks(spark, sf):
 
 def top_findings(spark, sf):
     rows, _ = fi.categorise_findings(_to_categorise(spark, sf), *_mapping(spark, sf))
-    once = rows.where("framework = 'sans'").select("finding_id", "category").distinct()
-    return fi.top_findings(once, 5, ["category"], ["finding_id"])
+    once = rows.select("finding_id", "framework", "category").distinct()
+    return fi.top_findings(once, 5, ["framework", "category"], ["finding_id"])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -720,7 +722,7 @@ ORACLE = {
         ORDER BY _id LIMIT 100""",
     "query_documents_without": f"""
         WITH {_EVENT_DOCS} SELECT _id, concat('{{"k":', k, ',"type":"', t, '"}}') AS doc FROM docs
-        WHERE k <> 5 ORDER BY _id LIMIT 300""",
+        WHERE k <> 5""",
     "update_document_first": f"""
         WITH {_EVENT_DOCS} SELECT _id, CASE WHEN _id = (SELECT min(_id) FROM docs WHERE t = 'click' AND k > 40)
             THEN concat('{{"k":-1,"secret":"s","seen":true,"type":"', t, '"}}')
@@ -943,8 +945,8 @@ ORACLE = {
         FROM sans s LEFT JOIN catrows r ON r.framework = 'sans' AND r.category = s.cwe
         GROUP BY 1, 2, 3"""),
     "top_findings": with_views("fx_findings", _CATEGORISED, """
-        SELECT finding_id, category, place FROM (SELECT finding_id, category,
-            row_number() OVER (PARTITION BY category ORDER BY finding_id) AS place
-            FROM (SELECT DISTINCT finding_id, category FROM catrows WHERE framework = 'sans'))
+        SELECT finding_id, framework, category, place FROM (SELECT finding_id, framework, category,
+            row_number() OVER (PARTITION BY framework, category ORDER BY finding_id) AS place
+            FROM (SELECT DISTINCT finding_id, framework, category FROM catrows))
         WHERE place <= 5"""),
 }
