@@ -393,16 +393,14 @@ class Encoder:
             found = self.passes(group, length) if length <= Passes.LIMIT else [None] * len(group)
             for p, one in zip(group, found, strict=True):
                 self.known[p] = one or best_and_cost(self.v, p)
-        return [self.whole(p) for p in parts]
+        batch = _Batch(list(every), self.known)
+        return [self.whole(p, batch) for p in parts]
 
-    def whole(self, parts: list[str]) -> tuple[int, list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The n best of a text from its known parts."""
+    def whole(self, parts: list[str], batch: _Batch) -> tuple[int, list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """The n best of a text from its parts, which are all in the batch."""
         if not parts:
             return 0, [], []
-        found = [self.known[p] for p in parts]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        total = sum([f[1] for f in found])
-        cost = np.array([f[2] for f in found], np.int64)
+        total, ids, cost, size = batch.text(parts)
         # The n - 1 smallest costs, earlier parts first.
         near = np.flatnonzero(cost <= np.partition(cost, self.n - 2)[self.n - 2]) if 1 < self.n <= len(cost) else np.arange(len(cost))
         near = sorted(near[np.argsort(cost[near], kind="stable")][: self.n - 1].tolist())
@@ -412,8 +410,29 @@ class Encoder:
         ways = combined(total, {i: self.options[parts[i]] for i in near}, self.n)
         if len(ways) == 1:
             return total, ids, []
-        at = np.cumsum([0, *[len(f[0]) for f in found]])
-        return total, ids, [(score, [(int(at[p]), len(found[p][0]), self.options[parts[p]][r][1]) for p, r in taken]) for score, taken in ways[1:]]
+        at = np.cumsum(size) - size
+        return total, ids, [(score, [(int(at[p]), int(size[p]), self.options[parts[p]][r][1]) for p, r in taken]) for score, taken in ways[1:]]
+
+
+class _Batch:
+    """What is known of the parts of some texts, in arrays."""
+
+    def __init__(self, parts: list[str], known: dict[str, tuple[tuple[int, ...], int, int]]) -> None:
+        self.number = {p: i for i, p in enumerate(parts)}
+        found = [known[p] for p in parts]
+        self.score = np.array([f[1] for f in found], np.int64)
+        self.cost = np.array([f[2] for f in found], np.int64)
+        self.size = np.array([len(f[0]) for f in found], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = np.fromiter(chain.from_iterable([f[0] for f in found]), np.int64, int(self.size.sum()))
+
+    def text(self, parts: list[str]) -> tuple[int, list[int], np.ndarray, np.ndarray]:
+        """Score and ids of a text, and of each of its parts what the second best costs and the number of ids."""
+        at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        size = self.size[at]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[at] - (end - size), size) + np.arange(end[-1])]
+        return int(self.score[at].sum()), ids.tolist(), self.cost[at], size
 
 
 def decoded(names: list[bytes], ids: Sequence[int]) -> str:
