@@ -13,7 +13,6 @@ from check import TABLES, canonical  # noqa: E402
 
 from orderweave.plans import registry  # noqa: E402
 
-WITHOUT_SQL = {"match_fuzzy_misspelled", "usage_alerts"}
 SAMPLE = ("order_overview", "resolve_lines_without_fuzzy", "generate_messages", "parse_order_tables",
           "usage_trailing", "edi_validate", "categorise_findings")
 
@@ -22,7 +21,7 @@ def test_every_query_has_an_oracle():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries)
     assert set(registry.QUERIES) <= set(queries)
-    assert set(registry.QUERIES) - set(oracle) == WITHOUT_SQL
+    assert set(registry.QUERIES) <= set(oracle)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
