@@ -22,8 +22,8 @@ first regions are therefore made where distances below 1 can be at all:
    of one text, division does not help. Such a region is compared directly, a large one in cells of two
    blocks, one of which holds members outside its largest component.
 
-No task holds more than a region of ``REGION`` members or a cell of two blocks, nothing is dropped, and
-only links between different components leave a task.
+No task holds more than a bucket of documents, a region of ``REGION`` members or a cell of two blocks,
+nothing is dropped, and only links between different components leave a task.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,8 +45,8 @@ from orderweave.llm.words import mixed, steps, words_of
 from orderweave.session import stored
 
 PERCENT = 80
-#: Shingles of the documents in a bucket, on average; shingles that a task holds before it packs them.
-BUCKET, HELD = 1_000_000, 2_000_000
+#: Shingles of the documents in a bucket; prefix shingles in a deal, on average; those that a task holds before it packs them.
+BUCKET, DEAL, HELD = 1_000_000, 1_000_000, 1_000_000
 #: Members that one task takes as a region; members of a block where two blocks are a cell.
 REGION, BLOCK = 1024, 1024
 #: Pivots of a division over tasks, and in memory; a group of so few members is compared one by one.
@@ -76,9 +77,15 @@ def prefix_of(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.nda
 
 
 def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (a hash of the set), prefix (packed), per row of docs."""
+    """doc_id, n_shingles, set_a, set_b (a hash of the set), prefix (packed), bucket, per row of docs.
+
+    Documents that a task reads one after the other are a bucket, up to BUCKET shingles. So a bucket's
+    shingles are packed together, into as many rows as there are deals, at any number of buckets. The
+    result has to be stored, as buckets depend on how the table is split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = TaskContext.get().partitionId() << 32, 0
         for part in steps(batches):
             w = words_of(part.column(1), lower=True)
             sets, doc = shingle_sets(w, k)
@@ -95,11 +102,15 @@ def signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
             packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [
                 None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(sets[keep].tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), packed.cast(pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "prefix"])
+                [part.column(0), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                 packed.cast(pa.binary()), pa.array(np.full(part.num_rows, bucket))],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "prefix", "bucket"])
+            held += len(sets)
+            if held > BUCKET:
+                bucket, held = bucket + 1, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, prefix binary")
+        run, "doc_id long, n_shingles long, set_a long, set_b long, prefix binary, bucket long")
 
 
 def _packed_rows(order_by: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -123,7 +134,8 @@ def _dealt(prefixes: DataFrame, deals: int) -> DataFrame:
         counts = np.diff(np.append(first, len(key))).astype(np.uint32)
         key, bucket = key[first], bucket[first]
         deal = (mixed(key) % np.uint64(deals)).astype(np.int64)
-        rows = [(both // deals, both % deals, c) for both, c in _packed_rows(bucket * deals + deal, [key, counts])]
+        names, bucket = np.unique(bucket, return_inverse=True)
+        rows = [(int(names[both // deals]), both % deals, c) for both, c in _packed_rows(bucket * deals + deal, [key, counts])]
         for i in range(0, len(rows), 4096):
             some = rows[i: i + 4096]
             yield pa.RecordBatch.from_arrays(
@@ -468,15 +480,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFra
             jaccard_join(once, k, percent), "doc_id")
         lost = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
         return found.select("doc_id", "n_shingles", "component_id").union(lost)
-    sets = stored(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "metricjoin-classes")
-    total = some.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // BUCKET))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("long").alias("bucket")
+    sets = stored(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bucket")).alias("first")).select(
+        "set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("rep"), "first.bucket"), "metricjoin-classes")
+    total = some.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
     none = lambda t: F.lit(None).cast(t)
-    prefixes = some.select(bucket("doc_id"), F.lit(2).alias("kind"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"),
+    prefixes = some.select("bucket", F.lit(2).alias("kind"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"),
                            F.col("prefix").alias("blob"), none("binary").alias("counts"))
-    reps = sets.select(bucket("rep"), F.lit(1), "rep", none("long"), none("binary"), none("binary"))
-    shared = _shared(_dealt(prefixes.select("bucket", F.col("blob").alias("prefix")), buckets))
+    reps = sets.select("bucket", F.lit(1), "rep", none("long"), none("binary"), none("binary"))
+    shared = _shared(_dealt(some.select("bucket", "prefix"), max(1, -(-total // DEAL))))
     together = shared.union(reps).union(prefixes).repartition("bucket").sortWithinPartitions("bucket", "kind")
     kept = stored(_kept(together, percent), "metricjoin-kept")
     pivots = kept.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select(
@@ -487,7 +498,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFra
     labels = linked_components(members, texts, k, percent)
     named = sets.join(labels, F.col("rep") == F.col("node"), "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("name"))
-    out = every.drop("prefix").join(named, ["set_a", "set_b", "n_shingles"], "left")
+    out = every.drop("prefix", "bucket").join(named, ["set_a", "set_b", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id")).alias("component_id"))
 
 

@@ -57,8 +57,11 @@ def joined(df, k=5, percent=80):
     return {r.doc_id: (r.component_id, r.n_shingles) for r in metricjoin.jaccard_join(df, k, percent).collect()}
 
 
-@pytest.mark.parametrize("k,percent", [(5, 80), (3, 60)])
-def test_families_chains_and_passages(spark, docs_of, k, percent):
+@pytest.mark.parametrize("k,percent,small", [(5, 80, False), (3, 60, True)])
+def test_families_chains_and_passages(spark, docs_of, k, percent, small, monkeypatch):
+    if small:  # many buckets and deals, packed in several goes
+        for name, value in (("BUCKET", 900), ("DEAL", 70), ("HELD", 400)):
+            monkeypatch.setattr(metricjoin, name, value)
     rng = random.Random(3)
     texts = (family(rng, 60, 150, 10) + family(rng, 25, 400, 25) + family(rng, 3, 5, 2) + chain(rng, 40, 60, 3) + passages(rng, 30, 40)
              + ["A b C", "a B c", "a b", None, "", "  "])
