@@ -405,15 +405,35 @@ def clear_counts(orders: DataFrame, files: DataFrame) -> DataFrame:
 _NUMERIC_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
+def shredded_name(doc: str, name: str, what: str) -> str:
+    """The column that holds a document field as ``number``, ``text`` or ``flag``, or whether it is ``there``."""
+    return f"{doc}__{name}__{what}"
+
+
+def shred_documents(df: DataFrame, hot: list[str], doc: str = "doc") -> DataFrame:
+    """Add plain columns for the fields that filters often name.
+
+    Each field gets one column per type that it is compared in, with the value that a filter reads from the
+    document, so that filters on such a table give the same rows and reach the files.
+    """
+    return df.withColumns({
+        shredded_name(doc, name, what): column for name in hot for what, column in (
+            ("number", _field(df, name, 0.0, doc)), ("text", _field(df, name, "", doc)),
+            ("flag", _field(df, name, True, doc)), ("there", _exists(df, name, doc)))})
+
+
 def _field(df: DataFrame, name: str, value, doc: str) -> Column:
     """A field in the type of the value it is compared with, NULL in any other type."""
     if name in df.columns:
         return F.col(name)
+    what = "flag" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
+    if shredded_name(doc, name, what) in df.columns:
+        return F.col(shredded_name(doc, name, what))
     path = f"$.{name}"
     kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-    if isinstance(value, bool):
+    if what == "flag":
         return F.when(kind == "BOOLEAN", F.try_variant_get(doc, path, "boolean"))
-    if isinstance(value, (int, float)):
+    if what == "number":
         return F.when(kind.rlike(_NUMERIC_KINDS), F.try_variant_get(doc, path, "double"))
     return F.when(kind == "STRING", F.try_variant_get(doc, path, "string"))
 
@@ -421,6 +441,8 @@ def _field(df: DataFrame, name: str, value, doc: str) -> Column:
 def _exists(df: DataFrame, name: str, doc: str) -> Column:
     if name in df.columns:
         return F.col(name).isNotNull()
+    if shredded_name(doc, name, "there") in df.columns:
+        return F.col(shredded_name(doc, name, "there"))
     kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant"))
     return F.coalesce(kind != "VOID", F.lit(False))
 
@@ -466,7 +488,8 @@ def document_projection(df: DataFrame, fields: dict[str, int], doc: str = "doc"
             F.try_variant_get(doc, f"$.{n}", "string").alias(n) for n in names]
     inner = [n for n in fields if n != "_id" and n not in df.columns]
     return [without_fields(F.col(c), inner).alias(c) if c == doc and inner else F.col(c)
-            for c in df.columns if not (c in fields and c != "_id") and (c != "_id" or with_id)]
+            for c in df.columns if not (c in fields and c != "_id") and (c != "_id" or with_id)
+            and not c.startswith(f"{doc}__")]
 
 
 def without_fields(doc: Column, names: list[str]) -> Column:

@@ -13,6 +13,7 @@ from orderweave.plans import fixtures as fx
 from orderweave.plans.fixtures import with_views
 from orderweave.session import shared_dir, stored
 from orderweave.sources import reports
+from orderweave.sources.documents import read_documents, write_documents
 from orderweave.sources.keyed import delete_stored, merge_stored, update_stored, write_keyed
 from orderweave.streaming.runs import run_to_end, stream_parquet, tick, tick_stream
 from orderweave.streaming.usage import ROCKSDB
@@ -86,6 +87,15 @@ def query_documents_without(spark, sf):
     return found.select(*tables.document_projection(found, {"secret": 0})).select("_id", F.to_json("doc").alias("doc"))
 
 
+def query_documents_shredded(spark, sf):
+    """Filters on documents that are stored with their hot fields as columns."""
+    path = shared_dir(spark, "documents")
+    write_documents(_event_documents(spark, sf), path, ["k", "type"], ("k", "number"))
+    docs = read_documents(spark, path)
+    found = docs.where(tables.document_filter(docs, {"k": {"$gte": 20, "$lt": 90, "$ne": 33}, "type": {"$in": ["click", "view"]}}))
+    return found.select(*tables.document_projection(found, {"secret": 0})).select("_id", F.to_json("doc").alias("doc"))
+
+
 def update_document_first(spark, sf):
     docs, _ = tables.update_document_first(
         _event_documents(spark, sf), {"type": "click", "k": {"$gt": 40}}, {"k": "-1", "seen": "true"})
@@ -583,7 +593,7 @@ def top_findings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_table, query_table_times, query_table_pages, query_documents, query_documents_without, update_document_first, delete_documents,
+    query_table, query_table_times, query_table_pages, query_documents, query_documents_without, query_documents_shredded, update_document_first, delete_documents,
     find_document, column_rules, allowed_columns, merge_rules,
     merge_rules_refused, merge_rows_ignore, merge_rows_replace, merge_rows_error, cast_columns,
     update_where, update_first, delete_where, delete_cascade, delete_cascade_parents,
@@ -723,6 +733,9 @@ ORACLE = {
     "query_documents_without": f"""
         WITH {_EVENT_DOCS} SELECT _id, concat('{{"k":', k, ',"type":"', t, '"}}') AS doc FROM docs
         WHERE k <> 5""",
+    "query_documents_shredded": f"""
+        WITH {_EVENT_DOCS} SELECT _id, concat('{{"k":', k, ',"type":"', t, '"}}') AS doc FROM docs
+        WHERE k >= 20 AND k < 90 AND k <> 33 AND t IN ('click', 'view')""",
     "update_document_first": f"""
         WITH {_EVENT_DOCS} SELECT _id, CASE WHEN _id = (SELECT min(_id) FROM docs WHERE t = 'click' AND k > 40)
             THEN concat('{{"k":-1,"secret":"s","seen":true,"type":"', t, '"}}')

@@ -145,7 +145,7 @@ def test_the_join_finds_every_best_target(spark, accept):
     rng = random.Random(accept)
 
     def name(most):
-        return " ".join("".join(rng.choices("aabcde1é", k=rng.choice([1, 1, 2, 3, 8]))) for _ in range(rng.randint(1, most)))
+        return " ".join("".join(rng.choices("aabcde1é😀", k=rng.choice([1, 1, 2, 3, 8]))) for _ in range(rng.randint(1, most)))
 
     targets = [(name(5), rng.choice(["X", "Y", None]), f"C{i:03d}") for i in range(70)]
     texts = {(name(6), rng.choice(["X", "Z", None])) for _ in range(150)} | {("ab " * 400, "X"), (" \t ", "Y")}

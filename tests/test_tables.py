@@ -11,6 +11,7 @@ from orderweave.operators import findings as fi
 from orderweave.operators import tables, usage
 from orderweave.session import shared_dir
 from orderweave.sources import reports
+from orderweave.sources.documents import read_documents, write_documents
 from orderweave.sources.keyed import delete_stored, merge_stored, update_stored, write_keyed
 from orderweave.streaming.runs import run_to_end, run_to_parquet, session_settings, tick, tick_stream
 from orderweave.streaming.usage import ROCKSDB, usage_alerts, usage_windows
@@ -156,6 +157,21 @@ def test_times_of_day(spark, times):
     assert table.count() == 3
 
 
+def test_shredded_documents_give_the_same_rows(spark, tmp_path):
+    texts = ['{"k": 1, "t": "a"}', '{"k": 2.5, "t": true}', '{"k": "2", "t": null}', '{"t": "b"}', "[1]", '{"k": null}', None,
+             *[f'{{"k": {i}, "t": "c{i % 3}"}}' for i in range(10, 200)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id int, text string").select("_id", F.try_parse_json("text").alias("doc"))
+    write_documents(docs, str(tmp_path / "d"), ["k", "t"], ("k", "number"))
+    stored = read_documents(spark, str(tmp_path / "d"))
+    for filters in ({"k": 2}, {"k": {"$gt": 1, "$lte": 12}}, {"k": "2"}, {"k": {"$ne": 11}}, {"k": None}, {"t": True},
+                    {"t": {"$in": ["a", "c1"]}, "k": {"$lt": 20}}, {"t": {"$ne": None}}, {"x": None}):
+        want, got = ([r["_id"] for r in tables.query_documents(d, filters, {}, 1000).collect()] for d in (docs, stored))
+        assert got == want, filters
+    assert tables.query_documents(stored, {}, {"t": 0}, 5).columns == ["_id", "doc"]
+    plan = stored.where(tables.document_filter(stored, {"k": {"$gte": 150}})).select("_id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc__k__number,150.0)" in plan.split("PushedFilters")[1] and "doc:" not in plan.split("ReadSchema")[1]
+
+
 def files_of(path):
     return {p.relative_to(path): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
 
