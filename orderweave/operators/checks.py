@@ -154,7 +154,8 @@ def qty_plausibility(lines: DataFrame, catalog: DataFrame, factor: float = 10.0)
 
     A line is an outlier when its weight is more than ``factor`` times above or below
     the mean weight of the lines for the same item. Lines without a catalog item stay, with
-    what can be told without its weight, and are no outliers.
+    what can be told without its weight, and are no outliers. Weights are summed as decimals, so a line
+    that lies exactly at the limit is judged alike whatever the order of the rows.
     """
     items = catalog.select(F.col("internal_code").alias("resolved_internal_code"),
                            "weight_kg_per_m")
@@ -168,7 +169,10 @@ def qty_plausibility(lines: DataFrame, catalog: DataFrame, factor: float = 10.0)
         .otherwise(F.col("metres") * weight),
         "pieces": F.when(F.col("unit") == "PCE", q).otherwise(F.col("metres") / length)})
     known = sized.where(F.col("resolved_internal_code").isNotNull())
-    usual = known.groupBy("resolved_internal_code").agg(F.avg("kg").alias("mean_kg"))
+    exact = F.col("kg").try_cast("decimal(28,9)")
+    # Weights that no such decimal holds are summed as they are.
+    mean = F.when(F.count(exact) == F.count("kg"), F.try_sum(exact).cast("double") / F.count("kg"))
+    usual = known.groupBy("resolved_internal_code").agg(F.coalesce(mean, F.avg("kg")).alias("mean_kg"))
     ratio = F.col("kg") / F.nullif(F.col("mean_kg"), F.lit(0.0))
     return sized.join(usual, "resolved_internal_code", "left").withColumn(
         "outlier", F.coalesce((ratio > factor) | (ratio < 1 / factor), F.lit(False)))

@@ -473,3 +473,16 @@ def test_a_chain_of_versions(spark):
         (1, "1", "line_added"), (1, "2", "line_added"), (2, "1", "quantity_changed"), (2, "2", "line_cancelled"),
         (4, "1", "line_cancelled"), (5, "1", "line_added")]
     assert sorted(tuple(r)[:3] for r in checks.latest_lines(*args).collect()) == [("a", 6, "1"), ("b", 3, "1")]
+
+
+def test_weights_at_the_limit_are_judged_alike_in_any_order(spark):
+    # Nineteen lines of 0.7 kg and one of 13.3, ten times the mean: a sum of doubles falls short of it.
+    weights = [0.7] * 9 + [13.3] + [0.7] * 10
+    schema = "order_id int, line_no string, resolved_internal_code string, quantity double, unit string, length_mm double"
+    catalog = spark.createDataFrame([("A", 1.0)], "internal_code string, weight_kg_per_m double")
+    for rows in (weights, weights[9:] + weights[:9]):
+        lines = spark.createDataFrame([(1, str(i), "A", q, "KGM", None) for i, q in enumerate(rows)], schema)
+        assert checks.qty_plausibility(lines, catalog).where("outlier").count() == 0
+    # Beyond what a decimal holds.
+    odd = spark.createDataFrame([(1, "1", "A", 1e30, "KGM", None), (1, "2", "A", 1.0, "KGM", None)], schema)
+    assert [r["outlier"] for r in checks.qty_plausibility(odd, catalog).orderBy("line_no").collect()] == [False, True]
