@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderweave.operators import checks, extraction, interchange, messages, orders
+from orderweave.plans import document_queries
 from orderweave.sources import catalog as cat
 from orderweave.sources import files as fl
 from orderweave.sources import pages as pg
@@ -486,3 +487,12 @@ def test_weights_at_the_limit_are_judged_alike_in_any_order(spark):
     # Beyond what a decimal holds.
     odd = spark.createDataFrame([(1, "1", "A", 1e30, "KGM", None), (1, "2", "A", 1.0, "KGM", None)], schema)
     assert [r["outlier"] for r in checks.qty_plausibility(odd, catalog).orderBy("line_no").collect()] == [False, True]
+
+
+def test_bulk_files_grow_with_the_orders(spark, sf):
+    rows = document_queries.edi_validate_bulk(spark, sf).select("file", "interchange_no").collect()
+    numbers = {}
+    for r in rows:
+        numbers.setdefault(r["file"], []).append(r["interchange_no"])
+    assert set(numbers) == {f"bulk{n}" for n in range(40)}
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
