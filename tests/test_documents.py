@@ -496,3 +496,23 @@ def test_bulk_files_grow_with_the_orders(spark, sf):
         numbers.setdefault(r["file"], []).append(r["interchange_no"])
     assert set(numbers) == {f"bulk{n}" for n in range(40)}
     assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+
+
+def test_facts_are_found_whether_or_not_characters_are_released(spark, order_tables):
+    made = messages.generate_messages(*order_tables, AS_OF).where("order_id = 7").first()["edi_text"]
+    qualified = made.replace("QTY+21:", "QTY+12:9:KGM'\nQTY+21:").replace("PIA+1+", "PIA+5+OTHER:SA'\nPIA+1+")
+    # A released character anywhere in a group has all its segments parsed; tags with components count too.
+    released = qualified.replace("IMD+F++:::", "IMD+F++:::it?'s PIA?+1?+NONE:SA ")
+    split = qualified.replace("BGM+220", "BGM:x+220").replace("DTM+2:", "DTM:1+2:")
+    files = spark.createDataFrame([("a", made), ("b", qualified), ("c", released), ("d", split)], "file string, text string")
+    facts = interchange._facts(files).drop("segments", "said_segments").collect()
+    of = {name: sorted([tuple(r)[1:] for r in facts if r["file"] == name], key=lambda r: str(r)) for name in "abcd"}
+    assert of["a"] and of["a"] == of["b"] == of["c"] == of["d"]
+
+
+def test_lines_of_messages_are_read_once(spark, order_tables, tmp_path):
+    heads, lines, catalog = order_tables
+    lines.write.parquet(str(tmp_path / "lines"))
+    made = messages.generate_messages(heads, spark.read.parquet(str(tmp_path / "lines")), catalog, AS_OF)
+    scans = [r for r in made._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in r]
+    assert len(scans) == 1
