@@ -20,13 +20,16 @@ from orderweave.session import stored
 from orderweave.sources.sinks import Files
 
 PART = "part_no"
+#: The most ranges a table is dealt over when it is written. Every change lists, plans and moves files by
+#: part, so their number must not grow with the rows.
+MOST_PARTS = 512
 
 
 @dataclass(frozen=True)
 class KeyedTable:
     """A stored table with the columns of ``schema``.
 
-    width: keys of one part, for a single key of a whole-number type; without it keys are dealt
+    width: how many keys one part spans, for a single key of a whole-number type; without it keys are dealt
     over ``parts`` by a hash. Rows without a key are one part (ranges) or dealt like others (hash).
     """
 
@@ -83,10 +86,22 @@ class KeyedTable:
         return len(numbers), report
 
 
+def _widened(df: DataFrame, key: str, width: int) -> int:
+    """The width, times a whole number that leaves ``MOST_PARTS`` ranges at most from the least key to the greatest."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return width
+    # One less, since an end may lie inside a range.
+    return width * max(1, -(-(high // width - low // width + 1) // (MOST_PARTS - 1)))
+
+
 def write_keyed(df: DataFrame, path: str, keys: list[str], width: int | None = None, parts: int = 64) -> KeyedTable:
-    table = KeyedTable(path, df.schema, tuple(keys), width, parts)
+    """Write a new keyed table. width: the least span of a part; a wide range of keys gets wider parts."""
     if width is not None and (len(keys) != 1 or not isinstance(df.schema[keys[0]].dataType, T.IntegralType)):
         raise ValueError("ranges need one key of a whole-number type")
+    if width is not None:
+        width = _widened(df, keys[0], width)
+    table = KeyedTable(path, df.schema, tuple(keys), width, parts)
     table._write(df, "append")
     return table
 

@@ -229,6 +229,16 @@ def test_key_filters_leave_parts_out(spark, tmp_path):
         update_stored(table, spark, {"id": "eq:1"}, {"id": "2"})
 
 
+def test_wide_ranges_of_keys_do_not_make_more_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("orderweave.sources.keyed.MOST_PARTS", 8)
+    path = tmp_path / "wide"
+    table = write_keyed(spark.range(-30, 970).selectExpr("id", "id % 7 AS kind"), str(path), ["id"], 10)
+    assert table.width % 10 == 0 and len(list(path.glob("part_no=*"))) <= 8
+    touched, changed = update_stored(table, spark, {"id": "gte:900"}, {"kind": "9"})
+    assert touched <= 2 and changed.count() == 70
+    assert table.read(spark).where("kind = 9").count() == 70 and table.read(spark).count() == 1000
+
+
 def test_customer_rules(spark):
     rows = [("ok-1", "n", "table_text", None), ("A", "", "x", None),
             ("k1", "n", "api_model", ""), ("k2", "n", "api_model", " https://x")]
