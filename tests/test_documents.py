@@ -62,6 +62,28 @@ def test_table_parse_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_lines_are_cut_without_a_pattern_per_line(spark):
+    """``split`` compiles its pattern for each row; and a text like the quantity row is not yet that row."""
+    text = "010 AE-2000-001 a\nx 5 Stk 1,00 2,00 01.02.2024\n5 Stk 1,00 2,00 01.02.2024\n7 kg 1,00 2,00 30.02.2024"
+    docs = spark.createDataFrame([("d", "c", text)], "doc_id string, customer string, text string")
+    lines = extraction.parse_order_tables(docs)[1]
+    assert [tuple(r) for r in lines.select("description", "quantity", "unit", "delivery_date").collect()] == [
+        ("a x 5 Stk 1,00 2,00 01.02.2024", 5.0, "PCE", date(2024, 2, 1))]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(block" not in plan
+
+
+def test_fields_of_answers_are_taken_out_in_one_pass(spark):
+    """Reading a field as a variant copies it, so no entry is read field by field."""
+    answers = spark.createDataFrame([("d", "c", "m", '{"lines": [{"code": 0, "unit": "kg"}, 5, null, {"CODE": "x"}]}')],
+                                    "doc_id string, customer string, source string, answer string")
+    lines = extraction.parse_json_payloads(answers)[1]
+    assert [tuple(r) for r in lines.orderBy("pos").select("pos", "line_no", "extracted_code", "unit").collect()] == [
+        (0, "010", None, "KGM"), (3, "040", None, None)]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.code" not in plan and "$.unit" not in plan
+
+
 def test_answers(spark):
     payload = {"order_ref": "CA-1", "order_date": "2026-04-10", "currency": "", "lines": [
         {"line_no": "1", "code": "AE-2024-034", "description": "Corniere", "quantity": 120,
