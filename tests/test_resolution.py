@@ -72,6 +72,24 @@ def test_learned_comes_first_and_needs_an_active_target(spark, catalog):
         (None, "none", "absent")]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_codes_are_looked_up_once_and_only_open_lines_are_joined(spark, catalog, no_aliases):
+    rows = [(1, f"{i:03d}", "x", True, code, text, alloy) for i, (code, text, alloy) in enumerate([
+        ("AE-2024-036", "Equal angle 40x40x3 EN AW-6060", None), (None, "T-Slot 40x40x2,5", "6060"),
+        (None, None, None), ("nowhere", "", "6060"), (None, "T-Slot 40x40x2,5", None)])]
+    for null_trust in (False, True):
+        lines = spark.createDataFrame([(*r[:3], None if null_trust else r[3], *r[4:]) for r in rows], LINES)
+        found = resolution.resolve_lines(lines, catalog, no_aliases, fuzzy=False)
+        assert _plan(found).count("Join LeftOuter") == 1
+        got = [tuple(r)[-3:] for r in found.orderBy("line_no").collect()]
+        first = ("AE-2024-036", "dimension" if null_trust else "exact", "confirmed")
+        assert got == [first, ("AE-2024-071", "dimension", "absent"), (None, "none", "absent"),
+                       (None, "none", "absent"), ("AE-2024-071", "dimension", "absent")]
+
+
 def test_round_tube(spark, no_aliases):
     tube = spark.createDataFrame([("AE-2024-052", "Round Tube OD40x3", "EN AW-6060", 40.0, 40.0,
                                    3.0, "A")], SCHEMA)
