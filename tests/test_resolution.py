@@ -90,6 +90,15 @@ def test_codes_are_looked_up_once_and_only_open_lines_are_joined(spark, catalog,
                        (None, "none", "absent"), ("AE-2024-071", "dimension", "absent")]
 
 
+def test_flags_are_worked_out_once_a_line(spark, catalog, no_aliases):
+    lines = spark.createDataFrame([(1, "1", "x", True, "AE-2024-036", None, None), (1, "2", "x", True, None, "?", None)], LINES)
+    full = lines.withColumns({"quantity": F.lit(None).cast("double"), "unit": F.lit("PCE")})
+    counted = flags.flag_frequency(flags.flag_lines(resolution.resolve_lines(full, catalog, no_aliases, fuzzy=False)))
+    assert "size(" not in _plan(counted)
+    assert sorted(tuple(r) for r in counted.collect()) == [
+        ("ambiguous_unit", "exact", "x", 1), ("ambiguous_unit", "none", "x", 1), ("unmatched_code", "none", "x", 1)]
+
+
 def test_round_tube(spark, no_aliases):
     tube = spark.createDataFrame([("AE-2024-052", "Round Tube OD40x3", "EN AW-6060", 40.0, 40.0,
                                    3.0, "A")], SCHEMA)
