@@ -236,8 +236,9 @@ class Passes:
             before = before[:, : codes.shape[1] - k] + codes[:, k:] * self.BASE ** np.uint64(k + 1)
         return before
 
-    def __call__(self, texts: list[str], length: int) -> list[tuple[tuple[int, ...], int, int] | None]:
-        """As best_and_cost(); None for a part with a character that is no piece."""
+    def __call__(self, texts: list[str], length: int) -> tuple[np.ndarray, ...] | None:
+        """As best_and_cost(), in arrays: ids of all parts in order, how many each has, score, cost, and
+        whether they hold; they do not for a part with a character that is no piece."""
         n, codes, edges, runs = len(texts), self.codes(texts, length), [], None
         for k in range(1, min(length, len(self.tables)) + 1):
             runs = self.runs(codes, k, runs)
@@ -249,7 +250,7 @@ class Passes:
             hit = keys[at] == runs.T
             edges.append((hit.any(axis=1).tolist(), np.where(hit, weights[at], -NEVER // 2), ids[at]))
         if not edges or edges[0] is None:
-            return [None] * n
+            return None
         whole = (edges[0][1] > -NEVER // 2).all(axis=0)
         best, second = np.zeros((length + 1, n), np.int64), np.full((length + 1, n), -NEVER // 2)
         last, step = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
@@ -274,9 +275,8 @@ class Passes:
             taken.append(np.where(at > 0, last[at, rows], -1))
             at = np.maximum(at - np.where(at > 0, np.maximum(step[at, rows], 1), 0), 0)
         paths = np.stack(taken[::-1], axis=1)
-        sizes = (paths >= 0).sum(axis=1).tolist()
-        return [(tuple(p[len(p) - size:]), score, c) if ok else None for p, size, score, c, ok in zip(
-            paths.tolist(), sizes, best[length].tolist(), cost.tolist(), whole.tolist(), strict=True)]
+        there = paths >= 0
+        return paths[there], there.sum(axis=1), best[length], cost, whole
 
 
 def n_best(edges: list, end: int, n: int) -> list[Option]:
@@ -350,11 +350,18 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST) -> None:
         self.v, self.n = vocabulary, n
-        self.known: dict[str, tuple[tuple[int, ...], int, int]] = {}
-        self.options: dict[str, list[Option]] = {}
+        self.forget()
         self.cut = re.compile(vocabulary.part)
         self.passes = Passes(vocabulary)
 
+    def forget(self) -> None:
+        #: The number of each known part, and by it: score, cost of the second best, and where its ids begin in
+        #: ``ids`` (one more entry than parts).
+        self.known: dict[str, int] = {}
+        self.options: dict[str, list[Option]] = {}
+        self.score, self.cost = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     def parts(self, text: str) -> list[str]:
         chunks = self.cut.findall(BLANK + text.replace(BLANK, _SIGN).replace(" ", BLANK))
         if max(map(len, chunks)) <= SPLIT:
@@ -379,30 +386,63 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list:
         """Each text as by a call; parts that are new are looked at together."""
+        ids, at, score, more = self.arrays(texts)
+        return [(int(s), ids[a:b].tolist(), m) for s, a, b, m in zip(score, at[:-1], at[1:], more, strict=True)]
+
+    def learn(self, new: set[str]) -> None:
+        """Take up parts that are not known."""
+        by_length: dict[int, list[str]] = {}
+        for p in new:
+            by_length.setdefault(len(p), []).append(p)
+        ids, sizes, scores, costs = [self.ids], [np.zeros(0, np.int64)], [self.score], [self.cost]
+        for length, group in by_length.items():
+            found = self.passes(group, length) if length <= Passes.LIMIT else None
+            ok = np.zeros(len(group), bool) if found is None else found[-1]
+            if not ok.all():
+                # Those without arrays go last.
+                rest = [group[i] for i in np.flatnonzero(~ok).tolist()]
+                group = [group[i] for i in np.flatnonzero(ok).tolist()] + rest
+                one = [best_and_cost(self.v, p) for p in rest]
+                own = (np.fromiter(chain.from_iterable([f[0] for f in one]), np.int64), np.array([len(f[0]) for f in one]),
+                       np.array([f[1] for f in one], np.int64), np.array([f[2] for f in one], np.int64))
+                if found is None:
+                    found = own
+                else:
+                    whole = (found[0][np.repeat(ok, found[1])], *[x[ok] for x in found[1:4]])
+                    found = tuple(np.concatenate(x) for x in zip(whole, own, strict=True))
+            self.known.update(zip(group, range(len(self.known), len(self.known) + len(group)), strict=True))
+            ids.append(found[0].astype(np.int32))
+            sizes.append(found[1])
+            scores.append(found[2])
+            costs.append(found[3])
+        self.ids, self.score, self.cost = np.concatenate(ids), np.concatenate(scores), np.concatenate(costs)
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """ids of all texts in order, where those of each begin (one more entry than texts), scores, and further
+        segmentations."""
         parts = [self.parts(t) if t else [] for t in texts]
         every = set().union(*parts)
         new = every.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.options.clear()
+            self.forget()
             new = every
-        by_length: dict[int, list[str]] = {}
-        for p in new:
-            by_length.setdefault(len(p), []).append(p)
-        for length, group in by_length.items():
-            found = self.passes(group, length) if length <= Passes.LIMIT else [None] * len(group)
-            for p, one in zip(group, found, strict=True):
-                self.known[p] = one or best_and_cost(self.v, p)
-        return [self.whole(p) for p in parts]
-
-    def whole(self, parts: list[str]) -> tuple[int, list[int], list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The n best of a text from its known parts."""
-        if not parts:
-            return 0, [], []
-        found = [self.known[p] for p in parts]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        total = sum([f[1] for f in found])
-        cost = np.array([f[2] for f in found], np.int64)
+        if new:
+            self.learn(new)
+        first = np.cumsum([0, *map(len, parts)])
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(first[-1]))
+        begins = self.begins[which]
+        sizes = self.begins[which + 1] - begins
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(begins - at[:-1], sizes) + np.arange(at[-1])]
+        score = np.diff(np.concatenate([[0], np.cumsum(self.score[which])])[first])
+        cost = self.cost[which]
+        more = [self.further(p, cost[a:b], at[a: b + 1], int(s)) if p else [] for p, a, b, s in zip(
+            parts, first[:-1].tolist(), first[1:].tolist(), score, strict=True)]
+        return ids, at[first], score, more
+
+    def further(self, parts: list[str], cost: np.ndarray, at: np.ndarray, total: int) -> list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]:
+        """The segmentations of a text behind the best, from its known parts; at: where their ids begin."""
         # The n - 1 smallest costs, earlier parts first.
         near = np.flatnonzero(cost <= np.partition(cost, self.n - 2)[self.n - 2]) if 1 < self.n <= len(cost) else np.arange(len(cost))
         near = sorted(near[np.argsort(cost[near], kind="stable")][: self.n - 1].tolist())
@@ -410,15 +450,12 @@ class Encoder:
             if parts[i] not in self.options:
                 self.options[parts[i]] = n_best(self.v.edges(parts[i]), len(parts[i]), self.n)
         ways = combined(total, {i: self.options[parts[i]] for i in near}, self.n)
-        if len(ways) == 1:
-            return total, ids, []
-        at = np.cumsum([0, *[len(f[0]) for f in found]])
-        return total, ids, [(score, [(int(at[p]), len(found[p][0]), self.options[parts[p]][r][1]) for p, r in taken]) for score, taken in ways[1:]]
+        return [(score, [(int(at[p] - at[0]), int(at[p + 1] - at[p]), self.options[parts[p]][r][1]) for p, r in taken]) for score, taken in ways[1:]]
 
 
 def decoded(names: list[bytes], ids: Sequence[int]) -> str:
     """The text of piece ids; the blank put before the first piece goes. Broken bytes become U+FFFD."""
-    return b"".join([names[i] for i in ids]).decode(errors="replace")[1:]
+    return b"".join(map(names.__getitem__, ids)).decode(errors="replace")[1:]
 
 
 def changed(ids: Sequence[int], changes: Sequence[tuple[int, int, Sequence[int]]]) -> list[int]:
@@ -452,14 +489,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *keep: str, n: int = N_BEST)
         encoder = Encoder(vocabulary, n)
         for part in steps(batches, step_bytes=STEP_BYTES):
             texts = [t or "" for t in part.column(len(keep)).to_pylist()]
-            found = encoder.many(texts)
-            at = np.cumsum([0, *[len(f[1]) for f in found]])
-            ids = pa.ListArray.from_arrays(
-                pa.array(at, pa.int32()), pa.array(np.fromiter(chain.from_iterable([f[1] for f in found]), np.int32, int(at[-1]))))
-            more = [[{"score": s, "changes": [{"at": a, "old": o, "new": new} for a, o, new in c]} for s, c in f[2]] for f in found]
-            same = [decoded(vocabulary.names, f[1]) == t for f, t in zip(found, texts, strict=True)]
+            ids, at, score, further = encoder.arrays(texts)
+            same = [decoded(vocabulary.names, ids[a:b].tolist()) == t for t, a, b in zip(texts, at[:-1], at[1:], strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+            more = [[{"score": s, "changes": [{"at": a, "old": o, "new": new} for a, o, new in c]} for s, c in m] for m in further]
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(i) for i in range(len(keep))], ids, pa.array([f[0] for f in found], pa.int64()),
+                [*[part.column(i) for i in range(len(keep))], ids, pa.array(score, pa.int64()),
                  pa.array(more, _ARROW), pa.array(same)], names=[*keep, "ids", "score", "more", "round_trip"])
 
     return kept.mapInArrow(run, ", ".join([*fields, "ids array<int>", "score bigint", f"more {_CHANGES}", "round_trip boolean"]))

@@ -87,6 +87,22 @@ def test_what_a_task_has_met_does_not_matter(public, monkeypatch):
     assert [e(t) for t in texts * 2] == want * 2
 
 
+def test_texts_of_a_step_come_as_arrays():
+    rng = random.Random(11)
+    texts = ["", *["".join(rng.choice("aabbc. é") for _ in range(rng.randrange(1, 9))) for _ in range(40)], "", "é", "b" * 40]
+    v = small(rng)
+    e = Encoder(v, 3)
+    for _ in range(2):
+        ids, at, score, more = e.arrays(texts)
+        assert ids.dtype == "int32" and len(at) == len(texts) + 1 and at[-1] == len(ids)
+        for i, t in enumerate(texts):
+            one = Encoder(v, 3)(t)
+            assert (score[i], ids[at[i]: at[i + 1]].tolist(), more[i]) == one
+            if t and len(t) < 9:
+                assert score[i] == max(w[0] for w in every(v, t))
+    assert [len(x) for x in Encoder(v).arrays(["", ""])] == [0, 3, 2, 2]
+
+
 def test_rows(spark, awkward, docs_of, public):
     out = pieces.encode(awkward, public, "doc_id")
     rows = out.collect()
