@@ -538,3 +538,32 @@ def test_lines_of_messages_are_read_once(spark, order_tables, tmp_path):
     made = messages.generate_messages(heads, spark.read.parquet(str(tmp_path / "lines")), catalog, AS_OF)
     scans = [r for r in made._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan" in r]
     assert len(scans) == 1
+
+
+def _carried(plan):
+    """Types of the columns that rows carry through each generator of a plan."""
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _carried(children.apply(i))
+    if plan.nodeName() == "Generate":
+        kept = plan.requiredChildOutput()
+        yield from (kept.apply(i).dataType().simpleString() for i in range(kept.size()))
+
+
+def test_line_groups_do_not_carry_their_message(spark, order_tables):
+    files = messages.generate_messages(*order_tables, AS_OF).select(F.col("order_id").alias("file"), F.col("edi_text").alias("text"))
+    catalog = order_tables[2].select("internal_code", F.lit("A").alias("status"))
+    _, verdicts = interchange.edi_validate(files, catalog, date(2026, 6, 10))
+    types = list(_carried(verdicts._jdf.queryExecution().optimizedPlan()))
+    assert types and not [t for t in types if t.startswith("array")]
+
+
+def test_many_lines_are_counted_with_their_message(spark, order_tables):
+    made = messages.generate_messages(*order_tables, AS_OF).where("order_id = 7").first()["edi_text"]
+    long = made.replace("UNS+S'", "LIN+1'\n" * 1500 + "UNS+S'")
+    facts = interchange._facts(spark.createDataFrame([("f", made), ("g", long)], "file string, text string"))
+    of = {r["file"]: r for r in facts.groupBy("file").agg(
+        F.count_if(F.col("line_index") > 0).alias("n"), F.collect_set(F.struct("lines", "segments")).alias("said")).collect()}
+    (few,), (many,) = of["f"]["said"], of["g"]["said"]
+    assert of["g"]["n"] == of["f"]["n"] + 1500 == many["lines"] == few["lines"] + 1500
+    assert many["segments"] == few["segments"] + 1500
