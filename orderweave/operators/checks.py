@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderweave.functions.text import norm_code
+from orderweave.session import staged
+from orderweave.streaming.runs import session_settings
 
 
 def extraction_score(lines: DataFrame, truth: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -49,12 +51,21 @@ def order_change_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
     Returns changed lines with their kind and per order counts with an order level
     verdict. A line whose quantity and date both changed counts for both kinds.
     """
+    return _judged(_paired(old, new, ["order_ref"]), ["order_ref"])
+
+
+def _paired(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Each line beside its other version, if there is one."""
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select("order_ref", "line_no", F.col("quantity").alias(f"{tag}_quantity"),
+        return df.select(*keys, "line_no", F.col("quantity").alias(f"{tag}_quantity"),
                          F.col("delivery_date").alias(f"{tag}_date"),
                          F.lit(True).alias(f"_{tag}"))
 
-    pairs = side(old, "old").join(side(new, "new"), ["order_ref", "line_no"], "full_outer")
+    return side(old, "old").join(side(new, "new"), [*keys, "line_no"], "full_outer")
+
+
+def _judged(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The changes of paired lines, and their counts with a verdict per key."""
     both = F.col("_old").isNotNull() & F.col("_new").isNotNull()
     kinds = F.array_compact(F.array(
         F.when(F.col("_old").isNull(), "line_added"),
@@ -63,13 +74,13 @@ def order_change_diff(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
                "quantity_changed"),
         F.when(both & ~F.col("old_date").eqNullSafe(F.col("new_date")), "date_moved")))
     marked = pairs.withColumn("kinds", kinds)
-    shown = ["order_ref", "line_no", "old_quantity", "new_quantity", "old_date", "new_date"]
+    shown = [*keys, "line_no", "old_quantity", "new_quantity", "old_date", "new_date"]
     changes = marked.select(*shown, F.explode("kinds").alias("change"))
 
     def counted(kind: str) -> Column:
         return F.count_if(F.array_contains("kinds", kind)).alias(kind)
 
-    per_order = marked.groupBy("order_ref").agg(
+    per_order = marked.groupBy(*keys).agg(
         *[counted(k) for k in ("line_added", "line_cancelled", "quantity_changed",
                                "date_moved")],
         F.count("_old").alias("old_lines"), F.count("_new").alias("new_lines"))
@@ -94,27 +105,29 @@ def order_change_chain(versions: DataFrame, lines: DataFrame) -> tuple[DataFrame
     versions: ``order_ref, version``, also those without a line; lines: ``order_ref, version, line_no,
     quantity, delivery_date``. Returns the changed lines per version, and one row per version with the
     counts and its verdict: ``new_order``, ``order_cancelled`` (no line left), ``still_cancelled``,
-    ``order_reopened`` (lines after none), ``possible_change`` or ``unchanged``.
+    ``order_reopened`` (lines after none), ``possible_change`` or ``unchanged``. Versions and paired lines
+    are stored on the way.
     """
-    chain = _previous_versions(versions)
+    keys, fields = ["order_ref", "version"], ["line_no", "quantity", "delivery_date"]
+    chain = staged(_previous_versions(versions), "versions")
+    # Lines and versions are dealt by their order once, and all three joins are done where they then are.
+    placed, links = lines.select(*keys, *fields).repartition("order_ref"), chain.repartition("order_ref")
     # The lines of a version count twice: as its own, and as those before the next version.
-    own = lines.join(chain.select("order_ref", "version"), ["order_ref", "version"])
-    before = lines.withColumnRenamed("version", "before").join(
-        chain.where(F.col("before").isNotNull()), ["order_ref", "before"])
-    key = F.struct("order_ref", "version").alias("order_ref")
-    fields = ["line_no", "quantity", "delivery_date"]
-    changes, counts = order_change_diff(before.select(key, *fields), own.select(key, *fields))
-    flat = lambda df: df.select("order_ref.*", *[c for c in df.columns if c != "order_ref"])
+    own = placed.join(links, keys)
+    before = placed.withColumnRenamed("version", "before").join(links, ["order_ref", "before"])
+    with session_settings(lines.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        pairs = staged(_paired(before.select(*keys, *fields), own.select(*keys, *fields), keys), "pairs")
+    changes, counts = _judged(pairs, keys)
     kinds = ["line_added", "line_cancelled", "quantity_changed", "date_moved"]
     sums = [*kinds, "old_lines", "new_lines"]
-    counted = chain.join(flat(counts).select("order_ref", "version", *sums), ["order_ref", "version"], "left").fillna(0, sums)
+    counted = chain.join(counts.select(*keys, *sums), keys, "left").fillna(0, sums)
     touched = sum((F.col(k) for k in kinds), F.lit(0))
     verdict = (F.when(F.col("before").isNull(), "new_order")
                .when((F.col("old_lines") == 0) & (F.col("new_lines") == 0), "still_cancelled")
                .when(F.col("old_lines") == 0, "order_reopened")
                .when(F.col("new_lines") == 0, "order_cancelled")
                .when(touched > 0, "possible_change").otherwise("unchanged"))
-    return flat(changes), counted.select("order_ref", "version", "before", *sums, verdict.alias("verdict"))
+    return changes, counted.select(*keys, "before", *sums, verdict.alias("verdict"))
 
 
 def latest_lines(versions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from orderweave import session
 from orderweave.operators import checks, extraction, interchange, messages, orders
 from orderweave.plans import document_queries
 from orderweave.sources import catalog as cat
@@ -567,3 +568,31 @@ def test_many_lines_are_counted_with_their_message(spark, order_tables):
     (few,), (many,) = of["f"]["said"], of["g"]["said"]
     assert of["g"]["n"] == of["f"]["n"] + 1500 == many["lines"] == few["lines"] + 1500
     assert many["segments"] == few["segments"] + 1500
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_staged_table_leaves_no_shuffled_rows(spark, tmp_path):
+    groups = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    kept = session.staged(groups, "groups")
+    assert not _shuffle_files(spark) - before and spark.conf.get(setting) == was
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in groups.collect()}
+
+
+def test_chains_of_versions_are_shuffled_once(spark):
+    rows = [(o, v, str(n), float(n + (v if n == 2 else 0)), date(2026, 1, 1)) for o in range(20) for v in (1, 2, 3) for n in range(3) if n < v]
+    rows += [(1, 2, "0", 9.0, None), (1, 2, None, 1.0, None), (1, 3, None, 1.0, None)]  # a line twice, lines without a number
+    lines = spark.createDataFrame(rows, "order_ref long, version long, line_no string, quantity double, delivery_date date")
+    changes, verdicts = checks.order_change_chain(lines.select("order_ref", "version"), lines)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan(changes) and plan(verdicts).count("Join") == 1
+    got = {(r["order_ref"], r["version"]): r for r in verdicts.collect()}
+    assert len(got) == 60
+    assert [got[2, v]["verdict"] for v in (1, 2, 3)] == ["new_order", "possible_change", "possible_change"]
+    of = got[1, 3]  # line 0 was there twice, so it is compared twice; lines without a number are never the same
+    assert (of["old_lines"], of["new_lines"], of["line_added"], of["line_cancelled"], of["quantity_changed"]) == (4, 5, 2, 1, 1)
