@@ -596,3 +596,17 @@ def test_chains_of_versions_are_shuffled_once(spark):
     assert [got[2, v]["verdict"] for v in (1, 2, 3)] == ["new_order", "possible_change", "possible_change"]
     of = got[1, 3]  # line 0 was there twice, so it is compared twice; lines without a number are never the same
     assert (of["old_lines"], of["new_lines"], of["line_added"], of["line_cancelled"], of["quantity_changed"]) == (4, 5, 2, 1, 1)
+
+
+def test_texts_of_interchanges_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("UNB+1'\nUNZ+1'\nUNB+2'\nUNZ+2'\n")
+    rows = read_interchanges(spark, str(tmp_path))
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r["interchange_no"], r["text"].strip()) for r in rows.collect()) == [(1, "UNB+1'\nUNZ+1'"), (2, "UNB+2'\nUNZ+2'")]
+
+
+def test_texts_of_interchanges_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("UNB+1'\nUNZ+1'\nUNB+2'\nUNZ+2'\n")
+    rows = read_interchanges(spark, str(tmp_path))
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r["interchange_no"], r["text"].strip()) for r in rows.collect()) == [(1, "UNB+1'\nUNZ+1'"), (2, "UNB+2'\nUNZ+2'")]
