@@ -610,3 +610,12 @@ def test_texts_of_interchanges_are_not_shuffled(spark, tmp_path):
     rows = read_interchanges(spark, str(tmp_path))
     assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r["interchange_no"], r["text"].strip()) for r in rows.collect()) == [(1, "UNB+1'\nUNZ+1'"), (2, "UNB+2'\nUNZ+2'")]
+
+
+def test_compressed_exports_are_read_back(spark, order_tables, tmp_path):
+    before = _shuffle_files(spark)
+    log = sinks.export_orders(*order_tables, str(tmp_path), AS_OF, compression="gzip")
+    assert not _shuffle_files(spark) - before
+    assert all(p.suffix == ".gz" for p in tmp_path.glob("edifact/*/part-*"))
+    back = read_interchanges(spark, f"{tmp_path}/edifact")
+    assert {r["text"].strip() for r in back.collect()} == {r["edi_text"].strip() for r in log.collect()} != set()
