@@ -619,3 +619,8 @@ def test_compressed_exports_are_read_back(spark, order_tables, tmp_path):
     assert all(p.suffix == ".gz" for p in tmp_path.glob("edifact/*/part-*"))
     back = read_interchanges(spark, f"{tmp_path}/edifact")
     assert {r["text"].strip() for r in back.collect()} == {r["edi_text"].strip() for r in log.collect()} != set()
+
+
+def test_documents_are_routed_from_stored_tables(spark, sf):
+    plan = document_queries.route_extraction(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "Window" not in plan and "collect_list" not in plan
