@@ -605,13 +605,6 @@ def test_texts_of_interchanges_are_not_shuffled(spark, tmp_path):
     assert sorted((r["interchange_no"], r["text"].strip()) for r in rows.collect()) == [(1, "UNB+1'\nUNZ+1'"), (2, "UNB+2'\nUNZ+2'")]
 
 
-def test_texts_of_interchanges_are_not_shuffled(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("UNB+1'\nUNZ+1'\nUNB+2'\nUNZ+2'\n")
-    rows = read_interchanges(spark, str(tmp_path))
-    assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
-    assert sorted((r["interchange_no"], r["text"].strip()) for r in rows.collect()) == [(1, "UNB+1'\nUNZ+1'"), (2, "UNB+2'\nUNZ+2'")]
-
-
 def test_compressed_exports_are_read_back(spark, order_tables, tmp_path):
     before = _shuffle_files(spark)
     log = sinks.export_orders(*order_tables, str(tmp_path), AS_OF, compression="gzip")
@@ -624,3 +617,10 @@ def test_compressed_exports_are_read_back(spark, order_tables, tmp_path):
 def test_documents_are_routed_from_stored_tables(spark, sf):
     plan = document_queries.route_extraction(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "Window" not in plan and "collect_list" not in plan
+
+
+def test_intake_leaves_no_shuffled_rows(spark, sf):
+    before = _shuffle_files(spark)
+    found = document_queries.intake_stream(spark, sf)
+    assert not _shuffle_files(spark) - before
+    assert found.agg(F.sum("n")).first()[0] > 0
